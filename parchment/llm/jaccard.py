@@ -320,7 +320,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     sums = sums.select("group", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("chars") / BLOCK_BYTES)).cast("int").alias("blocks"))
     members = members.drop("chars").join(sums, "group").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     members = written(members, "members")
-    told = docs.join(members, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # merged at every size: members grow with the documents, so a broadcast would only hold on small inputs
+    told = docs.join(members.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     told = told.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     told = told.groupBy("group", "i", "j", (F.col("blocks") > 1).alias("many")).agg(F.collect_list(F.struct("set_key", "copies", "block", "text")).alias("members"))
     found = written(_exact(told.select("i", "j", "many", "members"), words, threshold), "links")
