@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from parchment.llm.common import components, prepare, written
 
 WORDS, THRESHOLD, RUNS, DEPTH = 5, 0.8, 10, 3
-LIMIT, SKETCH = 512, 64
+LIMIT, SKETCH = 2048, 64
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
 #: A pair goes on to the exact check from this estimate: 3.5 deviations of the sketch below the threshold.
 LOOSE = 0.62
@@ -188,17 +188,15 @@ def _similar_sketches(sketches: list[bytes], sizes: np.ndarray, threshold: float
 
 
 def _bucket_edges(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Brute force on sketches in each bucket (members: array of set_key, size, sketch): a star for each likeness."""
+    """Brute force on sketches in each bucket (arrays of keys, sizes and sketches): a star for each likeness."""
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             a, b = [], []
-            for members in batch["members"]:
-                keys = np.array([m["set_key"] for m in members], dtype=np.int64)
+            for keys, sizes, sketches in zip(batch["keys"], batch["sizes"], batch["sketches"]):
                 order = np.argsort(keys, kind="stable")
-                sizes = np.array([m["size"] for m in members])[order]
                 keys = keys[order]
-                left, right = _similar_sketches([bytes(members[i]["sketch"]) for i in order], sizes, threshold)
+                left, right = _similar_sketches([sketches[i] for i in order], sizes[order], threshold)
                 if len(left):
                     root = _forest(len(keys), left, right)
                     far = np.flatnonzero(root != np.arange(len(keys)))
@@ -234,7 +232,8 @@ def _candidates(sets: DataFrame, depth: int, limit: int, threshold: float) -> Da
     leaf = leaf.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key")
     member = F.struct("set_key", "size", "sketch")
     buckets = leaf.join(sets.select("set_key", "size", "sketch"), "set_key").groupBy("key", "i", "j").agg(F.collect_list(member).alias("members"))
-    return _bucket_edges(buckets.select("members"), threshold)
+    apart = [F.col("members")[k].alias(n) for k, n in (("set_key", "keys"), ("size", "sizes"), ("sketch", "sketches"))]
+    return _bucket_edges(buckets.select(*apart), threshold)
 
 
 def _exact(groups: DataFrame, words: int, threshold: float) -> DataFrame:
