@@ -1 +1 @@
-"""."""
+"""Column expressions and scalar functions."""

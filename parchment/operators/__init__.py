@@ -1 +1 @@
-"""."""
+"""Operators over findings and documents."""

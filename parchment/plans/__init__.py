@@ -1 +1 @@
-"""."""
+"""Dimensions and queries."""

@@ -1 +1 @@
-"""."""
+"""Files in, reports and documents out."""
