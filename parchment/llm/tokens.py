@@ -42,39 +42,56 @@ class ChunkEncoder:
     odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     marks = ".,;:!?*#$%&|"
 
-    def __init__(self, path: str, capacity: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, capacity: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.capacity, self.longest = capacity, longest
         self.known: dict[str, bytes] = {}
-        self.cuts: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember each chunk, with the space or line end before it, cut where punctuation follows its word."""
-        cut = []
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone, each after a space: many in one text, cut where the library's pieces end."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            found = self.lib.encode(" " + " ".join(words[at : at + 2000]), add_special_tokens=False)
+            raw = np.asarray(found.ids, dtype="<u4").tobytes()
+            cut = [*np.flatnonzero(np.diff(np.asarray(found.word_ids), prepend=-1)).tolist(), len(raw) // 4]
+            out += [raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])]
+        return out
+
+    def _learn(self, chunks: list[str]) -> list[str]:
+        """Remember each chunk, cut where punctuation follows its word; returns all that is new."""
+        known, cut, need = self.known, [], set()
         for x in chunks:
-            full = x if x[0] == "\n" else " " + x
-            word = full.rstrip(self.marks)
-            cut.append((word, full[len(word) :]) if word[-1].isalnum() else (full, ""))
-        ask = list({y for pair in cut for y in pair if y})
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(ask), 20_000):
-            some = [x for x in ask[at : at + 20_000] if x not in self.cuts]
-            fresh.update(zip(some, self._ask(some)))
-        self.cuts.update(x for x in fresh.items() if len(x[0]) <= self.longest)
-        look = lambda x: fresh[x] if x in fresh else self.cuts[x]
-        for x, (word, rest) in zip(chunks, cut):
-            self.known[x] = look(word) + look(rest) if rest else look(word)
+            word = x.rstrip(self.marks)
+            if len(word) < len(x) and word and word[-1].isalnum():
+                cut.append((x, word))
+                if word not in known:
+                    need.add(word)
+            else:
+                need.add(x)
+        plain = [x for x in need if x.isalpha()]
+        known.update(zip(plain, self._ask_words(plain)))
+        other = [x for x in need if not x.isalpha()]
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
+            known.update(zip(some, self._ask([x if x[:1] == "\n" else " " + x for x in some])))
+        for x, word in cut:
+            rest = x[len(word) :]
+            if rest not in self.ends:
+                self.ends[rest] = self._ask([rest])[0]
+            known[x] = known[word] + self.ends[rest]
+        return [*need, *(x for x, _ in cut)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.capacity:
-            self.known, self.cuts = {}, {}
+            self.known, self.ends = {}, {}
         known, parts, new = self.known, [], set()
         for text in texts:
             led = "\n" + text
@@ -85,11 +102,11 @@ class ChunkEncoder:
             del chunks[0]
             parts.append(chunks)
             new.update(chunks)
-        self._learn([x for x in new if x not in known])
+        fresh = self._learn([x for x in new if x not in known])
         whole = iter(self._ask([t for t, p in zip(texts, parts) if p is None]))
         get = known.__getitem__
         out = [next(whole) if p is None else b"".join(map(get, p))[4:] for p in parts]
-        for x in [x for x in new if len(x) > self.longest]:
+        for x in [x for x in fresh if len(x) > self.longest]:
             del known[x]
         return out
 
