@@ -21,7 +21,7 @@ from parchment.llm.common import prepare
 #: Labelled documents that a model learns from, at most.
 TRAIN_ROWS = 6000
 FOLDS, TREES, LEAVES_DEPTH, BINS, RATE = 5, 60, 3, 32, 0.15
-SHORTEST, LONGEST = 3, 8
+SHORTEST, LONGEST, RARE = 3, 8, 4
 _word = re.compile(r"[^\W_]+")
 #: Second persons of the corpus's languages.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine sie ihr euch tu te toi ton ta vous votre vos tú ti usted ustedes vosotros".split())
@@ -33,16 +33,12 @@ NAMES = ("strong_rate", "weak_rate", "strong", "weak", "weight_rate", "weight_ma
 class Lexicon:
     """Weights of words by their openings of SHORTEST to LONGEST letters and by the whole: smoothed log odds of a toxic document."""
 
-    def __init__(self, bags: list[set[str]], toxic: np.ndarray):
-        inside, outside = Counter(), Counter()
-        for bag, t in zip(bags, toxic):
-            keys = {w[:k] for w in bag for k in range(SHORTEST, LONGEST + 1) if len(w) > k} | {w + "$" for w in bag if len(w) >= SHORTEST}
-            (inside if t else outside).update(keys)
-        yes, no = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    def __init__(self, inside: Counter, outside: Counter, yes: int, no: int):
+        """inside and outside count, of `yes` toxic and `no` other documents, those that hold a key."""
         self.weights: dict[str, float] = {}
         for key, n in inside.items():
-            if n >= 4:
-                odds = np.log((n + 0.5) / (yes + 1)) - np.log((outside.get(key, 0) + 0.5) / (no + 1))
+            if n >= RARE:
+                odds = np.log((n + 0.5) / (max(1, yes) + 1)) - np.log((outside[key] + 0.5) / (max(1, no) + 1))
                 if odds > 2:
                     self.weights[key] = float(odds)
         self.seen: dict[str, float] = {}
@@ -64,6 +60,30 @@ class Lexicon:
         return found
 
 
+def keys_of(bag: set[str]) -> set[str]:
+    return {w[:k] for w in bag for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1)} | {w + "$" for w in bag if len(w) >= SHORTEST}
+
+
+def lexicons(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray) -> list[Lexicon]:
+    """A lexicon without each fold, and one of all; documents are counted once, by fold."""
+    inside, outside = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
+    for bag, t, k in zip(bags, toxic, fold):
+        if t:
+            inside[k].update(keys_of(bag))
+    every = sum(inside, Counter())
+    wanted = {key for key, n in every.items() if n >= RARE}
+    for bag, t, k in zip(bags, toxic, fold):
+        if not t:
+            outside[k].update(wanted & keys_of(bag))
+    every, others = Counter({key: every[key] for key in wanted}), sum(outside, Counter())
+    out = []
+    for k in range(FOLDS):
+        rest = fold != k
+        part = Counter({key: n - inside[k][key] for key, n in every.items()})
+        out.append(Lexicon(part, Counter({key: n - outside[k][key] for key, n in others.items()}), int(toxic[rest].sum()), int((1 - toxic[rest]).sum())))
+    return [*out, Lexicon(every, others, int(toxic.sum()), int((1 - toxic).sum()))]
+
+
 def words_of(text: str) -> list[str]:
     words = _word.findall(text.lower())
     if _masked.search(text):  # i.d.i.o.t, st*pid and the like, beside the plain words
@@ -185,18 +205,15 @@ class ToxicityModel:
         # copies share a fold, else a copy would leak its label
         fold = np.array([hash_fold(t) for t in texts])
         x = np.zeros((len(y), len(NAMES)))
-        for k in range(FOLDS):
-            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            lexicon = Lexicon([bags[i] for i in rest], y[rest])
-            for i in own:
-                x[i] = features(texts[i], lexicon)
+        *apart_from, self.lexicon = lexicons(bags, y, fold)
+        for i, k in enumerate(fold):
+            x[i] = features(texts[i], apart_from[k])
         apart = np.zeros(len(y))
         for k in range(FOLDS):
             if (fold == k).any() and (fold != k).any():
                 apart[fold == k] = Trees(x[fold != k], y[fold != k]).score(x[fold == k])
         self.knots = isotonic(apart, y)
         self.trees = Trees(x, y)
-        self.lexicon = Lexicon(bags, y)
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Calibrated scores from 0 to 1."""
