@@ -99,6 +99,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     columns = docs.columns
     rows, hits = find_hits(docs, benchmark, window)
     spans = written(rows.select("key", "n_words").distinct().join(hits.drop("items"), "key").select("key", "spans", (20 * covered(F.col("spans")) >= F.col("n_words")).alias("bad")).withColumnsRenamed({"key": "__key", "spans": "__spans", "bad": "__bad"}), "spans")
+    # whole texts are moved only where the spans of all documents with a hit are too many to send to each executor
+    if spans.agg(F.coalesce(F.sum(F.size("__spans") + 1), F.lit(0))).first()[0] <= MOST_BROADCAST:
+        spans = F.broadcast(spans)
     keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.octet_length("text")))
     out = keyed.join(spans, "__key", "left").where("__bad is null or not __bad")
     hit = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
