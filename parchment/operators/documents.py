@@ -19,6 +19,7 @@ from parchment.sources.pdf.inspect import Limits, Report, inspect
 
 ITEM = "ordinal int, category string, detail string, location string, slot string, value string, label string, content binary"
 SCHEMA = f"doc_id {{id}}, version string, pages int, incomplete boolean, lengths array<bigint>, items array<struct<{', '.join(':'.join(x.split()) for x in ITEM.split(', '))}>>, output binary"
+TOLD = "array<struct<category:string,detail:string,slot:string>>"
 BATCH = 64
 
 
@@ -76,7 +77,10 @@ def findings_of(read: DataFrame, base: str | None = None) -> DataFrame:
     checked = F.when(F.col("reader").isNull(), "NO_PLUGIN").when(F.col("found") < 0, "PLUGIN_REMOVED").when(F.col("found") > 0, "PLUGIN_SCRUBBED").otherwise("PLUGIN_PASSED")
     attached = F.when(F.col("odd"), F.array(one("EMBEDDED_FILE", F.lit("TYPE_MISMATCH"), ""), one("EMBEDDED_FILE", checked))).otherwise(F.array(one("EMBEDDED_FILE", checked)))
     plain = F.array(F.struct("category", "detail", "slot"))
-    told = F.when(link, F.array(linked)).when(file, attached).otherwise(plain)
+    form, href = (F.col("category") == "FORM") & (F.col("detail") == ""), links.trimmed(F.col("value"))
+    outside = href.rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|[/\\])") | links.path_trick(href, separator=True).isNotNull()
+    reference = F.when(outside, F.array(one("FORM", F.lit("XFA_EXTERNAL_REFERENCE")))).otherwise(F.array().cast(TOLD))
+    told = F.when(link, F.array(linked)).when(file, attached).when(form, reference).otherwise(plain)
     out = rows.select("doc_id", "ordinal", "location", "value", F.explode(told).alias("t"))
     return out.select("doc_id", "ordinal", "t.category", "t.detail", "location", "t.slot", "value", F.lit(False).alias("plugin"))
 

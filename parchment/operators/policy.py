@@ -102,14 +102,27 @@ COMBINED = {
 }
 
 
+def _combined(weighted: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Kinds of each document with their weight, and what each combination asks of them."""
+    kinds = weighted.groupBy("doc_id", "category", "detail").agg(F.max("weight").alias("weight"))
+    told = {k: F.bool_or((F.col("weight") > 0) & (F.col("category") == c) & (F.col("detail") == d)) for k, (c, d) in COMBINED.items()}
+    told |= {"script": F.bool_or((F.col("weight") > 0) & (F.col("category") == "JAVASCRIPT")), "file": F.bool_or((F.col("weight") > 0) & (F.col("category") == "EMBEDDED_FILE"))}
+    return kinds, told
+
+
+def bonuses(findings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """doc_id, bonus: what combinations of a document's kinds add to its score."""
+    kinds, told = _combined(with_weights(findings, weights))
+    out = kinds.groupBy("doc_id").agg(*[v.alias(k) for k, v in told.items()])
+    return out.select("doc_id", _bonus({k: F.col(k) for k in told}).cast("int").alias("bonus"))
+
+
 def scores(findings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """doc_id, score, risk: the weightiest kind in full, a quarter of each other one, and combinations, at most 100.
 
     Two partial aggregations by document: findings to kinds, kinds to a score.
     """
-    kinds = with_weights(findings, weights).groupBy("doc_id", "category", "detail").agg(F.max("weight").alias("weight"))
-    told = {k: F.bool_or((F.col("weight") > 0) & (F.col("category") == c) & (F.col("detail") == d)) for k, (c, d) in COMBINED.items()}
-    told |= {"script": F.bool_or((F.col("weight") > 0) & (F.col("category") == "JAVASCRIPT")), "file": F.bool_or((F.col("weight") > 0) & (F.col("category") == "EMBEDDED_FILE"))}
+    kinds, told = _combined(with_weights(findings, weights))
     total = F.max("weight") + (F.sum("weight") - F.max("weight")) / 4
     out = kinds.groupBy("doc_id").agg(total.alias("total"), *[v.alias(k) for k, v in told.items()])
     score = F.least(F.lit(100), F.round(F.col("total") + _bonus({k: F.col(k) for k in told})).cast("int"))

@@ -12,6 +12,7 @@ from parchment.functions import datafiles, links, sniffing
 from parchment.operators import documents, graph, policy
 from parchment.plans.spec import finding_rows, finding_spec
 from parchment.session import prepare
+from parchment.sources import files
 from parchment.sources.files import read_table
 from parchment.sources.pdf import builder
 
@@ -446,3 +447,76 @@ def corpus_risk_summary(spark, sf):
     told, _ = documents.inspect_documents(synthesised(spark, sf, featured))
     sources = read_table(spark, sf, "documents").select("doc_id", "source")
     return told.join(sources, "doc_id").groupBy("source", "risk").agg(F.count("*").alias("documents"), F.sum("score").alias("score"))
+
+
+FORM_KEYS = 5
+
+
+def formed(key: int, text: str) -> bytes:
+    """A form in two packets whose parts the key counts; the text stands between as plain data."""
+    n = key % FORM_KEYS
+    some = {
+        "script": '<event activity="click"><script contentType="application/x-javascript">a &lt; b &amp;&amp; c</script></event>' * n, "submit": '<submit target="https://example.com/f"/>' * (n // 2),
+        "link": '<a href="https://example.com/?a&b=1">x</a>' * (n % 2), "href": '<image href="//server/x.png"/><image href="a.png"/>' * (n % 3), "execute": '<execute connection="c"/>' * (key % 2),
+    }
+    form = f'<template><subform name="top"><field name="f">{"".join(some.values())}</field></subform></template>'
+    data = "".join(c for c in text[:200] if c.isalnum() or c == " ")
+    tail = f"<datasets><v>{data}</v></datasets><config><uri>{'x' * (key % 2)}</uri></config>" + "<xfdf/>" * (key % 3) + "</xdp:xdp>"
+    head = f'<xdp:xdp xmlns:xdp="urn:x">{form}'
+    return builder.one_page(catalog="/AcroForm << /Fields [] /XFA [(a) 100 0 R (b) 101 0 R] >>", objects=[("", head.encode()), ("", tail.encode())]).build()
+
+
+@query(f"""WITH k AS (SELECT doc_id, doc_id % {FORM_KEYS} AS n FROM documents), f AS (SELECT doc_id, unnest([
+    {{'category': 'FORM', 'detail': 'FIELDS', 'found': 0}}, {{'category': 'FORM', 'detail': 'XFA', 'found': 1}}, {{'category': 'JAVASCRIPT', 'detail': 'XFA', 'found': n}}, {{'category': 'ACTION', 'detail': 'SUBMIT_FORM', 'found': n // 2}},
+    {{'category': 'LINK', 'detail': 'SAFE', 'found': n % 2}}, {{'category': 'FORM', 'detail': 'XFA_EXTERNAL_REFERENCE', 'found': n % 3 + doc_id % 2}}, {{'category': 'FORM', 'detail': 'XFA_EXECUTE', 'found': doc_id % 2}},
+    {{'category': 'FORM', 'detail': 'XFA_PACKET', 'found': doc_id % 3}}]) AS r FROM k) SELECT doc_id, r.category AS category, r.detail AS detail, CAST(r.found AS BIGINT) AS found FROM f WHERE r.found > 0""")
+def xfa_plan_counts(spark, sf):
+    found = documents.findings_of(documents.read_documents(synthesised(spark, sf, formed)))
+    return found.groupBy("doc_id", "category", "detail").agg(F.count("*").alias("found"))
+
+
+_PACKED = [("a.csv", b"=1,2\n", "PLUGIN_SCRUBBED"), ("a.csv", b"1,2\n", "PLUGIN_PASSED"), ("a.csv", b'"open', "PLUGIN_REMOVED"), ("a.tsv", b"x\t@y\n", "PLUGIN_SCRUBBED"), ("a.json", b"[1]", "PLUGIN_PASSED"), ("a.json", b"[1", "PLUGIN_REMOVED"), ("a.bin", b"x", "NO_PLUGIN")]
+
+
+def carrying(key: int, text: str) -> bytes:
+    name, body, _ = _PACKED[key % len(_PACKED)]
+    return builder.one_page(content=text.encode(), catalog=f"/Names << /EmbeddedFiles << /Names [({name}) 100 0 R] >> >>", objects=[FILE[0].format(name), ("/Type /EmbeddedFile", body)]).build()
+
+
+@query(f"SELECT doc_id, {pick_sql([x[2] for x in _PACKED], 'doc_id')} AS detail FROM documents")
+def pdf_attachment_plugins(spark, sf):
+    found = documents.findings_of(documents.read_documents(synthesised(spark, sf, carrying)))
+    return found.where("category = 'EMBEDDED_FILE'").select("doc_id", "detail")
+
+
+def measured(key: int, text: str) -> bytes:
+    """Page content as a plain stream, whose length is the text's."""
+    made = builder.one_page()
+    made.put(5, ("", text.encode()))
+    return made.build(table=("table", "stream")[key % 2])
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS content_length FROM documents")
+def pdf_content_length(spark, sf):
+    return documents.read_documents(synthesised(spark, sf, measured)).select("doc_id", F.element_at("lengths", 1).alias("content_length"))
+
+
+_PAIRS = [("JAVASCRIPT", "OPEN_ACTION", 0), ("ACTION", "LAUNCH", 1), ("STRUCTURE", "ESCAPED_NAMES", 2), ("EMBEDDED_FILE", "NO_PLUGIN", 3), ("ENCRYPTED", "EMPTY_PASSWORD", 4)]
+_FLAGS = ", ".join(f"(c_custkey >> {bit}) & 1 AS b{bit}" for *_, bit in _PAIRS)
+
+
+@query(f"""WITH b AS (SELECT c_custkey AS doc_id, {_FLAGS} FROM customer WHERE c_custkey % 32 <> 0)
+    SELECT doc_id, CAST(20 * b0 * b1 + 20 * b0 * b2 + 15 * b0 * b3 + 10 * b0 * b4 AS INTEGER) AS bonus FROM b""")
+def combination_bonus(spark, sf):
+    bits = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(d).alias("detail"), F.lit(b).alias("bit")) for c, d, b in _PAIRS])
+    rows = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(bits).alias("k"))
+    held = rows.where(F.getbit(F.col("doc_id"), F.col("k.bit")) == 1)
+    return policy.bonuses(held.select("doc_id", "k.category", "k.detail"))
+
+
+_SIZES = [("10mb", 10 << 20), ("1.5k", 1536), ("7", 7), ("2G", 2 << 30), ("x", None), ("1.5.2k", None), (" 3 KB ", 3072)]
+
+
+@query(f"SELECT doc_id, CAST({pick_sql([n for _, n in _SIZES], 'doc_id')} AS BIGINT) AS bytes FROM documents")
+def size_option(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", files.size_in_bytes(pick([t for t, _ in _SIZES], F.col("doc_id"))).alias("bytes"))

@@ -13,6 +13,7 @@ from typing import NamedTuple
 from parchment.sources.pdf.document import Pdf
 from parchment.sources.pdf.filters import chain_of
 from parchment.sources.pdf.values import Name, Ref, Stream, text_of, write_value
+from parchment.sources.pdf.xfa import FormTrouble, form_items, without
 
 
 class Item(NamedTuple):
@@ -49,6 +50,11 @@ TRIGGERS = {
 TREES = {"JavaScript": ("JAVASCRIPT", "UNATTACHED"), "EmbeddedFiles": ("EMBEDDED_FILE", "NO_PLUGIN"), "Renditions": ("MEDIA", "RENDITION"), "AlternatePresentations": ("MEDIA", "SLIDESHOW")}
 COUNTED = (("FORM", "FIELDS"), ("SIGNATURE", "SIGNED"), ("SIGNATURE", "CERTIFIED"), ("SIGNATURE", "USAGE_RIGHTS"), ("CONTENT", "JBIG2_IMAGE"), ("CONTENT", "JPX_IMAGE"), ("CONTENT", "TYPE3_FONT"), ("METADATA", "XMP"), ("METADATA", "INFO_DICTIONARY"))
 
+FORM_PARTS = {
+    "packet": ("FORM", "XFA_PACKET"), "submit": ("ACTION", "SUBMIT_FORM"), "execute": ("FORM", "XFA_EXECUTE"), "connection": ("FORM", "XFA_CONNECTION"),
+    "exObject": ("FORM", "XFA_EXTERNAL_OBJECT"), "reference": ("FORM", "XFA_EXTERNAL_REFERENCE"), "script": ("JAVASCRIPT", "XFA"), "link": ("LINK", ""), "href": ("FORM", ""), "image": ("FORM", "XFA_IMAGE"),
+}
+
 GONE = object()
 NODES, LINKS = 1_000_000, 1000
 
@@ -67,6 +73,7 @@ class Walk:
         self.roles: dict[int, str] = {}
         self.place: dict[int, tuple[str, int, list | None]] = {}
         self.alt: dict[int, str] = {}
+        self.cleaned: dict[int, Stream] = {}
         self.pages = pdf.pages()
         self.removed = False
         self.root = pdf.trailer.get("Root")
@@ -139,7 +146,7 @@ class Walk:
             if ref.num in self.seen:
                 continue
             self.seen.add(ref.num)
-            value = self.pdf.get(ref)
+            value = self.cleaned[ref.num] if ref.num in self.cleaned else self.pdf.get(ref)
             where = self.place.get(ref.num, (location,))[0]
             clean = self._value(value, f"obj:{ref.num}", where, self.roles.get(ref.num, role))
             if clean is not GONE:
@@ -213,9 +220,8 @@ class Walk:
                     out[k] = clean
                 continue
             elif k == "XFA":
-                self.tell("FORM", "XFA", location)
-                if self.tell("FORM", "XFA_UNREADABLE", location, at):
-                    self._pass(v)
+                v = self._xml_form(v, at, location)
+                if v is GONE:
                     continue
             elif k == "Metadata":
                 self.tell("METADATA", "XMP", location)
@@ -232,6 +238,78 @@ class Walk:
                 out[k] = clean
         return out
 
+    def _packets(self, value) -> list[tuple[bytes | None, Ref, Stream]]:
+        """The streams of a form and their names, in order."""
+
+        def stream(v) -> tuple[Ref, Stream]:
+            ref = v
+            for _ in range(32):
+                if isinstance(v, Ref):
+                    ref, v = v, self.pdf.get(v)
+            if not isinstance(v, Stream) or not isinstance(ref, Ref):
+                raise FormTrouble("a packet that is no stream")
+            return ref, v
+
+        whole = self.pdf.resolve(value)
+        if isinstance(whole, Stream):
+            return [(None, *stream(value))]
+        if not isinstance(whole, list) or len(whole) % 2 or not all(isinstance(k, bytes) for k in whole[::2]):
+            raise FormTrouble("neither a stream nor names with streams")
+        out = [(k, *stream(v)) for k, v in zip(whole[::2], whole[1::2])]
+        if len({ref.num for _, ref, _ in out}) < len(out):
+            raise FormTrouble("a packet listed twice")
+        return out
+
+    def _pictures(self, names) -> frozenset[str]:
+        """Keys of the pictures held for a form; the tree counts as met only when the walk comes to it."""
+        seen, self.seen = self.seen, set()
+        try:
+            return frozenset(text_of(k) for k, _ in self._tree(names.get("XFAImages") if isinstance(names, dict) else None))
+        finally:
+            self.seen = seen
+
+    def _xml_form(self, value, at: str, location: str):
+        """Tell the parts of a form; the form without those to go, or GONE where it cannot be read and so goes whole."""
+        if self.tell("FORM", "XFA", location, f"{at}#whole"):
+            self._pass(value)
+            return GONE
+        try:
+            packets = self._packets(value)
+            bodies = [self.pdf.bytes_of(s) for _, _, s in packets]
+            if any(b is None for b in bodies):
+                raise FormTrouble("a packet that cannot be decoded")
+            names = self.pdf.resolve((self.pdf.resolve(self.root) or {}).get("Names"))
+            parts = form_items(b"".join(bodies), self.strip_metadata, self._pictures(names))
+        except FormTrouble as e:
+            if self.tell("FORM", "XFA_UNREADABLE", location, at, str(e)):
+                self._pass(value)
+                return GONE
+            return value
+        ranges = []
+        for part in parts:
+            where, slot = f"XFA {part.packet}" + (f", {part.som}" if part.som else ""), f"{at}#{part.kind}{part.start}"
+            gone = self.tell(*FORM_PARTS[part.kind], where, slot, short(part.value, 120) if part.kind not in ("link", "href") else part.value)
+            if part.other:
+                gone |= self.tell("LINK", "", where, slot, part.other)
+            if gone:
+                ranges.append((part.start, part.end))
+        if not ranges:
+            return value
+        out = []
+        for (name, ref, stream), before, after in zip(packets, bodies, without(bodies, ranges)):
+            if len(packets) > 1 and after != before and not after.strip():
+                self._pass(ref)
+                continue
+            if after != before:
+                self.cleaned[ref.num] = Stream({k: x for k, x in stream.items() if k not in ("Filter", "DecodeParms", "Length")})
+                self.cleaned[ref.num].raw = after
+            out += [name, ref]
+        if packets[0][0] is None:
+            return value
+        if isinstance(value, Ref):
+            self.seen.add(value.num)
+        return out
+
     def _pass(self, value) -> None:
         """What only removed things lead to counts as met."""
         todo = [value]

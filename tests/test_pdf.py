@@ -9,6 +9,7 @@ from parchment.sources.pdf import crypto, filters
 from parchment.sources.pdf.builder import one_page, updated
 from parchment.sources.pdf.inspect import inspect
 from parchment.sources.pdf.values import Name, Ref, SyntaxTrouble, read_value, write_value
+from parchment.sources.pdf.xfa import form_items, without
 
 
 def kinds(report):
@@ -85,3 +86,43 @@ def test_values():
     assert read_value(write_value(value))[0] == value
     with pytest.raises(SyntaxTrouble):
         read_value(b"[" * 2000)
+
+
+def form(*packets, extra=""):
+    names = " ".join(f"(p{i}) {100 + i} 0 R" for i in range(len(packets)))
+    return one_page(catalog=f"/AcroForm << /Fields [] /XFA [{names}] {extra} >>", objects=[("", p.encode()) for p in packets]).build()
+
+
+def test_form_parts_have_their_bytes():
+    data = b"<xdp><template><subform name='a'><field name='b'><event activity='exit'><script contentType='text/javascript'>x &lt; 1</script></event><submit target='t'/></field></subform></template><pdf/></xdp>"
+    parts = form_items(data)
+    assert [(p.kind, data[p.start : p.end], p.som, p.value) for p in parts] == [
+        ("script", b"x &lt; 1", "a.b, exit", "JavaScript"), ("submit", b"<submit target='t'/>", "a.b", "t"), ("packet", b"<pdf/>", "", "pdf"),
+    ]
+
+
+def test_form_links_are_read_twice_and_bare_ampersands_are_text():
+    parts = form_items(b"<xdp><template><a href='https://a.example/?x&lt=1'>q & r</a><script>a && b &quot c</script></template></xdp>")
+    assert [(p.kind, p.value, p.other) for p in parts] == [("link", "https://a.example/?x&lt=1", "https://a.example/?x<=1"), ("script", "an unreadable form", "")]
+
+
+@pytest.mark.parametrize("bad", ["<!DOCTYPE x><xdp/>", "<xdp>", "<other/>", "<xdp a='1' a='2'/>", "<xdp>&nope;</xdp>", "<xdp/><xdp/>", "", "\x00"])
+def test_unreadable_form_goes_whole(bad):
+    data = form(bad)
+    first = inspect(data)
+    assert ("FORM", "XFA_UNREADABLE") in kinds(first)
+    again = inspect(inspect(data, remove=frozenset(i.slot for i in first.items if i.detail == "XFA_UNREADABLE")).output)
+    assert ("FORM", "XFA") not in kinds(again)
+
+
+def test_form_is_cleaned_across_packets():
+    data = form("<xdp><template><field><script>a</script><image>AAAA</image></field></temp", "late></xdp>")
+    first = inspect(data)
+    assert [k for k in kinds(first) if k[1] != "FIELDS"] == [("FORM", "XFA"), ("JAVASCRIPT", "XFA"), ("FORM", "XFA_IMAGE")]
+    out = inspect(data, remove=frozenset(i.slot for i in first.items if "#" in i.slot and not i.slot.endswith("#whole"))).output
+    assert b"<script></script><image></image>" in out
+    assert [k for k in kinds(inspect(out)) if k[1] != "FIELDS"] == [("FORM", "XFA")]
+
+
+def test_cut_over_a_packet_boundary():
+    assert without([b"abc", b"def", b"ghi"], [(1, 4), (2, 3), (5, 9)]) == [b"a", b"e", b""]
