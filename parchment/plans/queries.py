@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -450,17 +452,19 @@ def corpus_risk_summary(spark, sf):
 
 
 FORM_KEYS = 5
+#: Characters that XML forbids, even as references.
+_NO_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 
 def formed(key: int, text: str) -> bytes:
-    """A form in two packets whose parts the key counts; the text stands between as plain data."""
+    """A form in two packets whose parts the key counts; the whole text stands between as plain data."""
     n = key % FORM_KEYS
     some = {
         "script": '<event activity="click"><script contentType="application/x-javascript">a &lt; b &amp;&amp; c</script></event>' * n, "submit": '<submit target="https://example.com/f"/>' * (n // 2),
         "link": '<a href="https://example.com/?a&b=1">x</a>' * (n % 2), "href": '<image href="//server/x.png"/><image href="a.png"/>' * (n % 3), "execute": '<execute connection="c"/>' * (key % 2),
     }
     form = f'<template><subform name="top"><field name="f">{"".join(some.values())}</field></subform></template>'
-    data = "".join(c for c in text[:200] if c.isalnum() or c == " ")
+    data = escape(_NO_XML.sub("", text), {"\r": "&#13;"})
     tail = f"<datasets><v>{data}</v></datasets><config><uri>{'x' * (key % 2)}</uri></config>" + "<xfdf/>" * (key % 3) + "</xdp:xdp>"
     head = f'<xdp:xdp xmlns:xdp="urn:x">{form}'
     return builder.one_page(catalog="/AcroForm << /Fields [] /XFA [(a) 100 0 R (b) 101 0 R] >>", objects=[("", head.encode()), ("", tail.encode())]).build()

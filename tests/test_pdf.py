@@ -4,12 +4,12 @@ import zlib
 
 import pytest
 
-from parchment.plans.queries import FEATURES
+from parchment.plans.queries import FEATURES, formed
 from parchment.sources.pdf import crypto, filters
 from parchment.sources.pdf.builder import one_page, updated
 from parchment.sources.pdf.inspect import inspect
 from parchment.sources.pdf.values import Name, Ref, SyntaxTrouble, read_value, write_value
-from parchment.sources.pdf.xfa import form_items, without
+from parchment.sources.pdf.xfa import form_items, read_tree, without
 
 
 def kinds(report):
@@ -126,3 +126,12 @@ def test_form_is_cleaned_across_packets():
 
 def test_cut_over_a_packet_boundary():
     assert without([b"abc", b"def", b"ghi"], [(1, 4), (2, 3), (5, 9)]) == [b"a", b"e", b""]
+
+
+def test_forms_of_the_query_hold_whole_texts():
+    text = "Fish & chips <b>\"5 > 4\"</b> ]]> &amp; é\u3000\U0001f600\r\n\ttail " * 3000
+    for key in range(30):
+        made = formed(key, text + "\x00\x1b\ufffe")
+        at, end = made.index(b"<datasets>"), made.index(b"</datasets>")
+        assert read_tree(made[at:end] + b"</datasets>").children[0].said() == text
+        assert kinds(inspect(made)) == kinds(inspect(formed(key, "")))
