@@ -4,7 +4,8 @@ A document is the set of its five-word shingles. In each of `runs` repetitions a
 whose hash (of run, path and token) lies below 1 / (threshold * size): one token and a quarter on average. Sets that
 picked the same path share a bucket; a pair at or above the threshold meets in one with a chance that the runs raise
 to the target recall. A bucket that is small enough is compared by brute force on short min-hash sketches; one that
-is not is split by its sets' next picks; what is large at the last level is compared in blocks.
+is not is split by its sets' next picks; what is large at the last level is compared in blocks. As every split costs
+recall, sets whose buckets were split get further runs, as many as the target needs if all buckets are split.
 
 The pairs that look similar are kept as stars, a row for each set and bucket, and joined to candidate groups. Each
 group's whole texts then meet once, in bounded blocks, and every pair in it is checked exactly. So links are exact,
@@ -13,6 +14,7 @@ no pair is ever a row, and the recall is that of the path search.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from parchment.llm.common import components, prepare, written
 
 WORDS, THRESHOLD, RUNS, DEPTH = 5, 0.8, 10, 3
+#: The share of links the search finds at least, for pairs at the threshold and whatever is split.
+RECALL = 0.9999
 LIMIT, SKETCH = 2048, 64
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
-#: A pair goes on to the exact check from this estimate: 3.5 deviations of the sketch below the threshold.
-LOOSE = 0.62
+#: A pair goes on to the exact check from this estimate: 4.6 deviations of the sketch below the threshold.
+LOOSE = 0.57
 
 _rng = np.random.default_rng(20)
 _BYTE = np.zeros(256, np.uint64)
@@ -104,10 +108,32 @@ def sketch(s: np.ndarray) -> bytes:
     return (mixed(best) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def paths(s: np.ndarray, runs: int, depth: int, threshold: float) -> tuple[list[int], list[int], list[int]]:
-    """The nodes a set picks: level, parent's key and own key (keys are signed; the parent at level 1 is the run)."""
+def runs_for(recall: float, runs: int, depth: int, threshold: float) -> tuple[int, int]:
+    """(runs of all sets, runs of sets in split buckets) that miss a pair at the threshold with 1 - recall at most.
+
+    The worst pair is a set and a part of it: its shared picks have a mean of 1 a level. It is missed if it shares no
+    pick in any run, if all its shared picks are split and no path goes on to the last level, or if the sketches
+    tell too little likeness.
+    """
+    need = _least_same(threshold)
+    loose = sum(math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) for k in range(need))
+    room = 1 - recall - loose
+    if room <= 0:
+        raise ValueError(f"sketches of {SKETCH} miss {loose:.2g} of the pairs alone")
+    meets = 0.0
+    for level in range(depth):
+        meets = 1 - math.exp(-meets) if level else 1 - math.exp(-1)
+    runs = max(runs, math.ceil(-math.log(room / 2)))
+    most = max(runs, math.ceil(math.log(room - math.exp(-runs)) / math.log(1 - meets)))
+    if most > len(_RUNS):
+        raise ValueError(f"a recall of {recall} takes {most} runs; there are seeds for {len(_RUNS)}")
+    return runs, most
+
+
+def paths(s: np.ndarray, runs: int, depth: int, threshold: float, start: int = 0) -> tuple[list[int], list[int], list[int]]:
+    """The nodes a set picks in runs from start on: level, parent's key and own key (keys are signed; the parent at level 1 is the run)."""
     room = min(np.iinfo(np.uint64).max, int(2.0**64 / (threshold * len(s))))
-    roots = _RUNS[:runs]
+    roots = _RUNS[start:runs]
     levels, parents, keys = [], [], []
     for level in range(1, depth + 1):
         own: list[np.ndarray] = []
@@ -129,7 +155,7 @@ def paths(s: np.ndarray, runs: int, depth: int, threshold: float) -> tuple[list[
     return levels, parents, keys
 
 
-def _signed(docs: DataFrame, words: int, runs: int, depth: int, threshold: float) -> DataFrame:
+def _signed(docs: DataFrame, words: int, runs: int, depth: int, threshold: float, start: int = 0) -> DataFrame:
     """Adds to (doc_id, text) the set's key, its size, its sketch and its nodes; drops the text."""
     node = "nodes array<struct<level:int,parent:bigint,key:bigint>>"
 
@@ -142,7 +168,7 @@ def _signed(docs: DataFrame, words: int, runs: int, depth: int, threshold: float
                 if not len(s) or doc_id is None:
                     rows.append((doc_id, None, len(s), len(text or ""), b"", []))
                     continue
-                found = paths(s, runs, depth, threshold)
+                found = paths(s, runs, depth, threshold, start)
                 rows.append((doc_id, set_key(s), len(s), len(text), sketch(s), [{"level": a, "parent": b, "key": c} for a, b, c in zip(*found)]))
             out = pd.DataFrame(rows, columns=["doc_id", "set_key", "size", "chars", "sketch", "nodes"])
             for at, k in enumerate(("doc_id", "set_key")):
@@ -171,9 +197,14 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+def _least_same(threshold: float) -> int:
+    """So many of the sketches' min-hashes agree in a pair that goes on to the exact check."""
+    return round(LOOSE / THRESHOLD * threshold * SKETCH)
+
+
 def _similar_sketches(sketches: list[bytes], sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     sk = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH)
-    need = round(LOOSE / THRESHOLD * threshold * SKETCH)
+    need = _least_same(threshold)
     left, right = [], []
     for at in range(0, len(sk), 64):
         same = np.zeros((min(64, len(sk) - at), len(sk)), np.uint8)
@@ -181,7 +212,7 @@ def _similar_sketches(sketches: list[bytes], sizes: np.ndarray, threshold: float
             same += sk[at : at + 64, k, None] == sk[None, :, k]
         a, b = np.nonzero(same >= need)
         a = a + at
-        keep = (a < b) & (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]))
+        keep = (a < b) & (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9)
         left.append(a[keep])
         right.append(b[keep])
     return np.concatenate(left), np.concatenate(right)
@@ -207,8 +238,9 @@ def _bucket_edges(buckets: DataFrame, threshold: float) -> DataFrame:
     return buckets.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _candidates(sets: DataFrame, depth: int, limit: int, threshold: float) -> DataFrame:
-    """The path search: pairs (a, b) of set keys whose sketches look similar, as stars."""
+def _leaves(sets: DataFrame, depth: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The path search: (set_key, key, n, blocks) for each set in a bucket to compare, and the sets whose buckets were split."""
+    split = None
     nodes = sets.select("set_key", F.explode("nodes").alias("node")).select("set_key", "node.*")
     rows, leaves = nodes.where("level = 1").select("set_key", "key"), []
     for level in range(1, depth + 1):
@@ -223,10 +255,17 @@ def _candidates(sets: DataFrame, depth: int, limit: int, threshold: float) -> Da
         large = met.where(f"n > {limit}").select("set_key", F.col("key").alias("parent"))
         if large.isEmpty():
             break
+        if level == 1:
+            split = large.select("set_key").distinct()
         rows = nodes.where(f"level = {level + 1}").join(large, ["set_key", "parent"]).select("set_key", "key")
     leaf = leaves[0]
     for more in leaves[1:]:
-        leaf = leaf.union(more)
+        leaf = leaf.union(more.select(leaf.columns))
+    return leaf, split
+
+
+def _candidates(leaf: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of set keys that share a bucket and whose sketches look similar, as stars."""
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     leaf = leaf.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     leaf = leaf.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key")
@@ -293,17 +332,19 @@ def similar_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return alike
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, limit: int = LIMIT) -> DataFrame:
+def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, limit: int = LIMIT, recall: float = RECALL) -> DataFrame:
     """Self-join of documents (doc_id, text) by Jaccard similarity of word shingles at or above threshold.
 
     Returns a row for each row of docs: doc_id, class_id (the least doc_id that links lead to), set_id (the least
     doc_id with the same shingles), n_links (other rows at or above the threshold; rows with the same shingles
     count). Null text and text without a word have no shingles: class_id and set_id are the own doc_id, n_links 0. A
     null doc_id is never linked. Rows of one doc_id with one text are copies of each other. Fewer words than `words`
-    are one shingle. Copies are grouped first, so a group of copies is one set; other columns are ignored.
+    are one shingle. Copies are grouped first, so a group of copies is one set; other columns are ignored. `runs` is
+    the least number of runs, `recall` the share of links found at least, also where buckets over `limit` are split.
     """
     spark = docs.sparkSession
     prepare(spark)
+    runs, most = runs_for(recall, runs, depth, threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(_signed(docs, words, runs, depth, threshold), "signed")
     there = signed.where("set_key is not null")
@@ -312,7 +353,13 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     first = written(first, "sets")
     sets = there.join(first.select("set_key", F.col("set_id").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key"]).select("set_key", "doc_id", "size", "chars", "sketch", "nodes")
     sets = written(sets, "sets")
-    group = components(_candidates(sets, depth, limit, threshold), "candidates")
+    leaf, split = _leaves(sets, depth, limit)
+    if split is not None and most > runs:
+        split = written(split, "split")
+        texts = docs.join(sets.join(split, "set_key", "left_semi").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        again = _signed(texts, words, most, depth, threshold, runs).join(split, "set_key", "left_semi").dropDuplicates(["set_key"])
+        leaf = leaf.union(_leaves(written(again, "again"), depth, limit)[0].select(leaf.columns))
+    group = components(_candidates(leaf, sets, threshold), "candidates")
     group = group.withColumnsRenamed({"node": "set_key", "root": "group"})
     members = sets.select("set_key", "doc_id", "chars").join(group, "set_key").join(first.select("set_key", "copies"), "set_key")
     sums = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))

@@ -85,6 +85,18 @@ def test_jaccard_join_against_brute_force(spark):
         assert [got[i]["class_id"] for i in range(len(texts))] == classes
 
 
+def test_split_buckets_keep_the_recall(spark):
+    pairs, rng = 3000, np.random.default_rng(3)
+    docs = []
+    for k in range(pairs):  # 100 shingles and the first 80 of them: the worst pair at the threshold
+        w = [f"v{x}" for x in rng.integers(0, 1 << 40, 104)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:84]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = jaccard.jaccard_join(frame, limit=1)  # every bucket is split down to level 3
+    assert got.where("n_links = 1").count() >= 0.998 * 2 * pairs
+    assert got.where("n_links > 1").isEmpty()
+
+
 def test_jaccard_join_on_odd_rows(odd, none):
     got = jaccard.jaccard_join(odd).collect()
     assert len(got) == 10
