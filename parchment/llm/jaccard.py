@@ -342,6 +342,12 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     are one shingle. Copies are grouped first, so a group of copies is one set; other columns are ignored. `runs` is
     the least number of runs, `recall` the share of links found at least, also where buckets over `limit` are split.
     """
+    found = _linked(docs, words, threshold, runs, depth, limit, recall)
+    return found.select("doc_id", "class_id", "set_id", "n_links")
+
+
+def _linked(docs: DataFrame, words: int, threshold: float, runs: int, depth: int, limit: int, recall: float) -> DataFrame:
+    """jaccard_join with two further columns: set_key, and root, the same in all sets of a class (null without shingles)."""
     spark = docs.sparkSession
     prepare(spark)
     runs, most = runs_for(recall, runs, depth, threshold)
@@ -377,22 +383,41 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
         links = links.join(joined.select(F.col("node").alias("set_key"), F.col("root").alias("wider")), "set_key", "left").select("set_key", "links", F.coalesce("wider", "root").alias("root"))
     classes = first.join(links, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     heads = classes.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    classes = classes.join(heads, "root").select("set_key", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = classes.join(heads, "root").select("set_key", "root", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "set_key").join(classes, "set_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "set_key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs less all but one of each class of jaccard_join: the row of the least doc_id stays.
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, limit: int = LIMIT, recall: float = RECALL) -> DataFrame:
+    """The rows of docs less all but one of each class of jaccard_join: a row of the least doc_id stays.
 
-    A null doc_id stays. All columns stay as they are. Where doc_ids repeat, one row of the doc_id that stays is kept
-    for each set of shingles.
+    Rows with a null doc_id take part and come after the others in their class. Where doc_ids repeat, a class keeps one
+    doc_id with one set of shingles, and of equal such rows one. Texts without a word all stay, but for rows equal in
+    a doc_id and text. All columns stay as they are.
     """
-    found = written(jaccard_join(docs, **how), "classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "again")
+    # a null doc_id's stand-in: of its text, and above any usual doc_id
+    stand_in = F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    found = _linked(named.select(F.col("__id").alias("doc_id"), "text"), words, threshold, runs, depth, limit, recall)
+    found = written(found.select("doc_id", "set_key", "root"), "classes")
+    stays = found.where("set_key is not null").groupBy("root").agg(F.min(F.struct("doc_id", "set_key")).alias("head")).select("head.*")
+    gone = found.where("set_key is not null").join(stays, ["doc_id", "set_key"], "left_anti").select(F.col("doc_id").alias("__id")).distinct()
+    again = written(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"), "again")
+    kept = named.join(gone, "__id", "left_anti")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(once)
+        return kept.select(docs.columns)
+
+    @F.pandas_udf("long")
+    def keys(texts: pd.Series) -> pd.Series:
+        sets = [shingles(None if pd.isna(t) else t, words) for t in texts]
+        return pd.Series([set_key(s) if len(s) else None for s in sets], dtype="Int64")
+
+    # a repeated doc_id may have several sets, so its rows are told apart by both
+    rows = named.join(again, "__id", "left_semi").withColumn("__set", keys(F.col("text").cast("string")))
+    heads = stays.select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__set"))
+    once = rows.where("__set is not null").join(heads, ["__id", "__set"], "left_semi").dropDuplicates(["__id", "__set"])
+    bare = rows.where("__set is null")
+    kept = kept.join(again, "__id", "left_anti").select(docs.columns)
+    for more in (once, bare.where("doc_id is not null").dropDuplicates(["doc_id", "text"]), bare.where("doc_id is null")):
+        kept = kept.unionByName(more.select(docs.columns))
+    return kept

@@ -109,6 +109,15 @@ def test_jaccard_join_on_odd_rows(odd, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "None", "None"]
 
 
+def test_near_duplicates_go_by_row(spark):
+    a, b, c = ("one two three four five six", "some quite other words stand here", "a text of rows without a name")
+    docs = [(3, a), (5, a), (5, b), (9, b), (7, c), (7, c.upper()), (None, c), (None, "left over words of no name"), (None, "left over words of no name"), (None, None), (None, None), (8, "!"), (8, "!")]
+    kept = jaccard.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept) == sorted(
+        [("3", a), ("5", b), ("7", c), ("None", "left over words of no name"), ("None", ""), ("None", ""), ("8", "!")]
+    )
+
+
 # tokens and packing
 
 
