@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Words of 64 bits in the filter of `passing`: 16 MB of keys and bits at most are broadcast, good for some 10 million keys.
+FILTER_WORDS = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -69,6 +71,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing(rows: DataFrame, wanted: DataFrame, keys: list[str], keep: bool = True) -> DataFrame:
+    """The rows whose keys may be in wanted (with keep), or those whose keys surely are not; rows keep their order.
+
+    A blocked Bloom filter: each key sets four bits of one of at most FILTER_WORDS words of 64, which are broadcast.
+    So the broadcast is bounded whatever the size of wanted. A full filter lets more rows pass, and what follows is
+    exact all the same: callers join what passes.
+    """
+    at, bits = F.pmod(F.xxhash64(*keys), F.lit(FILTER_WORDS)), F.xxhash64(*keys, F.lit(1))
+    mask = F.lit(0).cast("long")
+    for k in range(4):
+        bit = F.shiftright(bits, 6 * k).bitwiseAND(63).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    words = wanted.select(at.alias("__at"), mask.alias("__mask")).groupBy("__at").agg(F.bit_or("__mask").alias("__word"))
+    there = F.coalesce(F.col("__word").bitwiseAND(mask) == mask, F.lit(False))
+    return rows.withColumn("__at", at).join(F.broadcast(words), "__at", "left").where(there if keep else ~there).select(rows.columns)
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of undirected edges (a, b, both long): (node, root), root the smallest node reached.
 

@@ -3,13 +3,17 @@
 A document is the set of its five-word shingles. In each of `runs` repetitions a set picks, at every level, the tokens
 whose hash (of run, path and token) lies below 1 / (threshold * size): one token and a quarter on average. Sets that
 picked the same path share a bucket; a pair at or above the threshold meets in one with a chance that the runs raise
-to the target recall. A bucket that is small enough is compared by brute force on short min-hash sketches; one that
-is not is split by its sets' next picks; what is large at the last level is compared in blocks. As every split costs
-recall, sets whose buckets were split get further runs, as many as the target needs if all buckets are split.
+to the target recall. A bucket that is small enough is compared by brute force on short min-hash sketches. The sets of
+larger buckets go on alone: they are signed again, in more runs, and split by their next picks down to the last level,
+where what is large is compared in blocks. As every split costs recall, those runs are as many as the target needs if
+all buckets are split.
 
-The pairs that look similar are kept as stars, a row for each set and bucket, and joined to candidate groups. Each
-group's whole texts then meet once, in bounded blocks, and every pair in it is checked exactly. So links are exact,
-no pair is ever a row, and the recall is that of the path search.
+The pairs that look similar are kept as stars, a row for each set and bucket, and joined to candidate groups. The texts
+of a group's members then meet once, in bounded blocks, and every pair in it is checked exactly. So links are exact,
+no pair is ever a row, and the recall is that of the path search. Texts of other documents never move: a filter of
+bounded size (common.passing) tells on the spot which rows may be members.
+
+Sets are told by 64-bit hashes: among 10^10 different sets about three pairs are expected to share one.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import components, prepare, written
+from parchment.llm.common import components, passing, prepare, written
 
 WORDS, THRESHOLD, RUNS, DEPTH = 5, 0.8, 10, 3
 #: The share of links the search finds at least, for pairs at the threshold and whatever is split.
@@ -31,6 +35,8 @@ LIMIT, SKETCH = 2048, 64
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
 #: A pair goes on to the exact check from this estimate: 4.6 deviations of the sketch below the threshold.
 LOOSE = 0.57
+#: A character of a word, as word_hashes takes them.
+_A_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 _rng = np.random.default_rng(20)
 _BYTE = np.zeros(256, np.uint64)
@@ -155,27 +161,46 @@ def paths(s: np.ndarray, runs: int, depth: int, threshold: float, start: int = 0
     return levels, parents, keys
 
 
-def _signed(docs: DataFrame, words: int, runs: int, depth: int, threshold: float, start: int = 0) -> DataFrame:
-    """Adds to (doc_id, text) the set's key, its size, its sketch and its nodes; drops the text."""
-    node = "nodes array<struct<level:int,parent:bigint,key:bigint>>"
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, text): fp tells the texts of a repeated doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("fp"), text.alias("text"))
+
+
+def _ids(values: list) -> pd.array:
+    return pd.array([None if pd.isna(x) else int(x) for x in values], dtype="Int64")
+
+
+def _signed(docs: DataFrame, words: int, runs: int, threshold: float) -> DataFrame:
+    """(doc_id, fp, set_key, size, chars, sketch, keys) of (doc_id, fp, text): the set and its first picks in each run."""
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for text in batch["text"]:
                 s = shingles(text, words)
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                if not len(s) or doc_id is None:
-                    rows.append((doc_id, None, len(s), len(text or ""), b"", []))
-                    continue
-                found = paths(s, runs, depth, threshold, start)
-                rows.append((doc_id, set_key(s), len(s), len(text), sketch(s), [{"level": a, "parent": b, "key": c} for a, b, c in zip(*found)]))
-            out = pd.DataFrame(rows, columns=["doc_id", "set_key", "size", "chars", "sketch", "nodes"])
-            for at, k in enumerate(("doc_id", "set_key")):
-                out[k] = pd.array([r[at] for r in rows], dtype="Int64")
+                rows.append((set_key(s), len(s), len(text), sketch(s), paths(s, runs, 1, threshold)[2]) if len(s) else (None, 0, len(text or ""), b"", []))
+            out = pd.DataFrame(rows, columns=["set_key", "size", "chars", "sketch", "keys"])
+            out["set_key"] = _ids([r[0] for r in rows])
+            out.insert(0, "fp", batch["fp"].to_numpy())
+            out.insert(0, "doc_id", _ids(batch["doc_id"]))
             yield out
 
-    return docs.mapInPandas(sign, f"doc_id long, set_key long, size long, chars long, sketch binary, {node}")
+    return docs.mapInPandas(sign, "doc_id long, fp long, set_key long, size long, chars long, sketch binary, keys array<bigint>")
+
+
+def _paths(docs: DataFrame, words: int, runs: int, depth: int, threshold: float) -> DataFrame:
+    """(set_key, level, parent, key): the nodes that the sets of docs (text) pick in all runs, a row each."""
+
+    def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                s = shingles(text, words)
+                if len(s):
+                    levels, parents, keys = paths(s, runs, depth, threshold)
+                    yield pd.DataFrame({"set_key": np.full(len(keys), set_key(s), np.int64), "level": np.array(levels, np.int32), "parent": np.array(parents, np.int64), "key": np.array(keys, np.int64)})
+
+    return docs.select("text").mapInPandas(sign, "set_key long, level int, parent long, key long")
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -238,30 +263,35 @@ def _bucket_edges(buckets: DataFrame, threshold: float) -> DataFrame:
     return buckets.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _leaves(sets: DataFrame, depth: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """The path search: (set_key, key, n, blocks) for each set in a bucket to compare, and the sets whose buckets were split."""
-    split = None
-    nodes = sets.select("set_key", F.explode("nodes").alias("node")).select("set_key", "node.*")
+def _met(rows: DataFrame) -> DataFrame:
+    """(set_key, key, n) of rows (set_key, key) whose bucket has n members, two at least.
+
+    Counts are partial sums, so a hot bucket is no hot task. They are written before they are joined: both sides of the
+    join are then plain shuffles, of which Spark splits a skewed one, and it is merged at every size, since the counts
+    grow with the documents.
+    """
+    counts = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    return written(rows.join(counts.hint("merge"), "key"), "buckets")
+
+
+def _leaves(nodes: DataFrame, depth: int, limit: int) -> DataFrame:
+    """The path search over nodes (set_key, level, parent, key): (set_key, key, blocks) for each set in a bucket to
+    compare; buckets over limit are split until the last level, and there dealt into blocks."""
     rows, leaves = nodes.where("level = 1").select("set_key", "key"), []
     for level in range(1, depth + 1):
-        # a bucket needs two members; counts are partial sums, so a hot bucket is no hot task
-        counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = rows.join(counts, "key")
+        met = _met(rows)
         if level == depth:
-            leaves.append(met.withColumn("blocks", F.ceil(F.col("n") / limit).cast("int")))
+            leaves.append(met.select("set_key", "key", F.ceil(F.col("n") / limit).cast("int").alias("blocks")))
             break
-        met = written(met, "paths")
-        leaves.append(met.where(f"n <= {limit}").withColumn("blocks", F.lit(1)))
+        leaves.append(met.where(f"n <= {limit}").select("set_key", "key", F.lit(1).alias("blocks")))
         large = met.where(f"n > {limit}").select("set_key", F.col("key").alias("parent"))
         if large.isEmpty():
             break
-        if level == 1:
-            split = large.select("set_key").distinct()
-        rows = nodes.where(f"level = {level + 1}").join(large, ["set_key", "parent"]).select("set_key", "key")
+        rows = nodes.where(f"level = {level + 1}").join(large.hint("merge"), ["set_key", "parent"]).select("set_key", "key")
     leaf = leaves[0]
     for more in leaves[1:]:
-        leaf = leaf.union(more.select(leaf.columns))
-    return leaf, split
+        leaf = leaf.union(more)
+    return leaf
 
 
 def _candidates(leaf: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -270,7 +300,7 @@ def _candidates(leaf: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     leaf = leaf.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     leaf = leaf.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key")
     member = F.struct("set_key", "size", "sketch")
-    buckets = leaf.join(sets.select("set_key", "size", "sketch"), "set_key").groupBy("key", "i", "j").agg(F.collect_list(member).alias("members"))
+    buckets = leaf.join(sets.select("set_key", "size", "sketch").hint("merge"), "set_key").groupBy("key", "i", "j").agg(F.collect_list(member).alias("members"))
     apart = [F.col("members")[k].alias(n) for k, n in (("set_key", "keys"), ("size", "sizes"), ("sketch", "sketches"))]
     return _bucket_edges(buckets.select(*apart), threshold)
 
@@ -342,38 +372,44 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     are one shingle. Copies are grouped first, so a group of copies is one set; other columns are ignored. `runs` is
     the least number of runs, `recall` the share of links found at least, also where buckets over `limit` are split.
     """
-    found = _linked(docs, words, threshold, runs, depth, limit, recall)
+    found = _linked(_named(docs), words, threshold, runs, depth, limit, recall)
     return found.select("doc_id", "class_id", "set_id", "n_links")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, fp, text) once for each of wanted (doc_id, fp, ...) and its columns; other texts stay where they lie."""
+    near = passing(docs, wanted, ["doc_id", "fp"])
+    # repeated rows are folded before they move
+    once = near.groupBy("doc_id", "fp").agg(F.first("text").alias("text"))
+    return once.join(wanted.hint("merge"), ["doc_id", "fp"])
+
+
 def _linked(docs: DataFrame, words: int, threshold: float, runs: int, depth: int, limit: int, recall: float) -> DataFrame:
-    """jaccard_join with two further columns: set_key, and root, the same in all sets of a class (null without shingles)."""
-    spark = docs.sparkSession
-    prepare(spark)
+    """jaccard_join for each (doc_id, fp) of _named, with two further columns: set_key, and root, the same in all sets
+    of a class (both null without shingles)."""
+    prepare(docs.sparkSession)
     runs, most = runs_for(recall, runs, depth, threshold)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(_signed(docs, words, runs, depth, threshold), "signed")
-    there = signed.where("set_key is not null")
+    signed = written(_signed(docs, words, runs, threshold), "signed")
+    there = signed.where("set_key is not null and doc_id is not null")
     # each set once, in its first row's words
-    first = there.groupBy("set_key").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"))
-    first = written(first, "sets")
-    sets = there.join(first.select("set_key", F.col("set_id").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key"]).select("set_key", "doc_id", "size", "chars", "sketch", "nodes")
-    sets = written(sets, "sets")
-    leaf, split = _leaves(sets, depth, limit)
-    if split is not None and most > runs:
-        split = written(split, "split")
-        texts = docs.join(sets.join(split, "set_key", "left_semi").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-        again = _signed(texts, words, most, depth, threshold, runs).join(split, "set_key", "left_semi").dropDuplicates(["set_key"])
-        leaf = leaf.union(_leaves(written(again, "again"), depth, limit)[0].select(leaf.columns))
+    first = written(there.groupBy("set_key").agg(F.min(F.struct("doc_id", "fp")).alias("at"), F.count("*").alias("copies")).select("set_key", "at.*", "copies"), "first")
+    sets = there.join(first.drop("copies").hint("merge"), ["set_key", "doc_id", "fp"]).groupBy("set_key")
+    sets = written(sets.agg(*[F.first(c).alias(c) for c in ("doc_id", "fp", "size", "chars", "sketch", "keys")]), "sets")
+    met = _met(sets.select("set_key", F.explode("keys").alias("key")))
+    leaf = met.where(f"n <= {limit}").select("set_key", "key", F.lit(1).alias("blocks"))
+    large = met.where(f"n > {limit}").select("set_key").distinct()
+    if not large.isEmpty():
+        split = written(sets.select("set_key", "doc_id", "fp").join(large.hint("merge"), "set_key"), "split")
+        again = written(_paths(_texts(docs, split), words, most, depth, threshold), "paths")
+        leaf = leaf.union(_leaves(again, depth, limit))
     group = components(_candidates(leaf, sets, threshold), "candidates")
-    group = group.withColumnsRenamed({"node": "set_key", "root": "group"})
-    members = sets.select("set_key", "doc_id", "chars").join(group, "set_key").join(first.select("set_key", "copies"), "set_key")
+    group = written(group.withColumnsRenamed({"node": "set_key", "root": "group"}), "groups")
+    members = sets.select("set_key", "doc_id", "fp", "chars").join(group.hint("merge"), "set_key").join(first.select("set_key", "copies").hint("merge"), "set_key")
     sums = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     sums = sums.select("group", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("chars") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = members.drop("chars").join(sums, "group").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    members = members.drop("chars").join(sums.hint("merge"), "group").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     members = written(members, "members")
-    # merged at every size: members grow with the documents, so a broadcast would only hold on small inputs
-    told = docs.join(members.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    told = _texts(docs, members).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     told = told.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     told = told.groupBy("group", "i", "j", (F.col("blocks") > 1).alias("many")).agg(F.collect_list(F.struct("set_key", "copies", "block", "text")).alias("members"))
     found = written(_exact(told.select("i", "j", "many", "members"), words, threshold), "links")
@@ -381,43 +417,34 @@ def _linked(docs: DataFrame, words: int, threshold: float, runs: int, depth: int
     if not (split := found.where("many")).isEmpty():  # links of groups over several blocks are joined once more
         joined = components(split.select(F.col("set_key").alias("a"), F.col("root").alias("b")), "classes")
         links = links.join(joined.select(F.col("node").alias("set_key"), F.col("root").alias("wider")), "set_key", "left").select("set_key", "links", F.coalesce("wider", "root").alias("root"))
-    classes = first.join(links, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    classes = first.select("set_key", F.col("doc_id").alias("set_id"), "copies").join(links.hint("merge"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     heads = classes.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    classes = classes.join(heads, "root").select("set_key", "root", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "set_key").join(classes, "set_key", "left")
-    return out.select("doc_id", "set_key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = classes.join(heads.hint("merge"), "root").select("set_key", "root", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes.hint("merge"), "set_key", "left")
+    return out.select("doc_id", "fp", "set_key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, limit: int = LIMIT, recall: float = RECALL) -> DataFrame:
     """The rows of docs less all but one of each class of jaccard_join: a row of the least doc_id stays.
 
     Rows with a null doc_id take part and come after the others in their class. Where doc_ids repeat, a class keeps one
-    doc_id with one set of shingles, and of equal such rows one. Texts without a word all stay, but for rows equal in
-    a doc_id and text. All columns stay as they are.
+    doc_id with one text, and of equal such rows one. Texts without a word all stay, but for rows equal in a doc_id
+    that is not null and in text. All columns stay as they are. Rows that go or are repeated move with their texts, and
+    rows that a filter of bounded size can't tell from them; the others are only read.
     """
     # a null doc_id's stand-in: of its text, and above any usual doc_id
     stand_in = F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    found = _linked(named.select(F.col("__id").alias("doc_id"), "text"), words, threshold, runs, depth, limit, recall)
-    found = written(found.select("doc_id", "set_key", "root"), "classes")
-    stays = found.where("set_key is not null").groupBy("root").agg(F.min(F.struct("doc_id", "set_key")).alias("head")).select("head.*")
-    gone = found.where("set_key is not null").join(stays, ["doc_id", "set_key"], "left_anti").select(F.col("doc_id").alias("__id")).distinct()
-    again = written(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"), "again")
-    kept = named.join(gone, "__id", "left_anti")
-    if again.isEmpty():
-        return kept.select(docs.columns)
-
-    @F.pandas_udf("long")
-    def keys(texts: pd.Series) -> pd.Series:
-        sets = [shingles(None if pd.isna(t) else t, words) for t in texts]
-        return pd.Series([set_key(s) if len(s) else None for s in sets], dtype="Int64")
-
-    # a repeated doc_id may have several sets, so its rows are told apart by both
-    rows = named.join(again, "__id", "left_semi").withColumn("__set", keys(F.col("text").cast("string")))
-    heads = stays.select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__set"))
-    once = rows.where("__set is not null").join(heads, ["__id", "__set"], "left_semi").dropDuplicates(["__id", "__set"])
-    bare = rows.where("__set is null")
-    kept = kept.join(again, "__id", "left_anti").select(docs.columns)
-    for more in (once, bare.where("doc_id is not null").dropDuplicates(["doc_id", "text"]), bare.where("doc_id is null")):
-        kept = kept.unionByName(more.select(docs.columns))
-    return kept
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string").rlike(_A_WORD), F.lit(False))
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), stand_in), "__fp": F.xxhash64(F.col("text").cast("string"), F.octet_length(F.col("text").cast("string"))), "__bare": bare})
+    told = rows.where("not __bare").select(F.col("__id").alias("doc_id"), "text")
+    found = written(_linked(_named(told), words, threshold, runs, depth, limit, recall).select("doc_id", "fp", "root"), "classes")
+    stays = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("head")).select("head.*")
+    pairs = found.groupBy("doc_id", "fp").agg(F.count("*").alias("n"), F.max("root").alias("root"))
+    pairs = pairs.join(stays.withColumn("stays", F.lit(True)).hint("merge"), ["doc_id", "fp"], "left")
+    pairs = pairs.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), (F.col("root").isNotNull() & F.col("stays").isNull()).alias("gone"), "n")
+    touched = written(pairs.where("gone or n > 1"), "touched")
+    keys = ["__id", "__fp"]
+    near = passing(rows.where("not __bare"), touched, keys).dropDuplicates(keys)
+    near = near.join(touched.where("gone").select(*keys).hint("merge"), keys, "left_anti")
+    far = passing(rows.where("not __bare"), touched, keys, keep=False)
+    return far.select(docs.columns).unionByName(near.select(docs.columns)).unionByName(rows.where("__bare").select(docs.columns))
