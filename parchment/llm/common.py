@@ -6,9 +6,12 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -17,21 +20,57 @@ FILTER_WORDS = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and keep Arrow batches small enough for very long texts."""
+    """Let Python workers import this package. Settings of the session stay as the caller has them."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 500:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_known_id(docs: DataFrame, *columns: Column) -> DataFrame:
+    """doc_id as long, 0 for null, and `known`, false for null: pandas has no exact column of integers with nulls."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"), doc_id.isNotNull().alias("known"), *columns)
+
+
+def known_id() -> Column:
+    """doc_id as it was before with_known_id."""
+    return F.when(F.col("known"), F.col("doc_id")).alias("doc_id")
+
+
+def pieces(batches: Iterable[pd.DataFrame], column: str = "text", rows: int = 500, size: int = 8 << 20) -> Iterator[pd.DataFrame]:
+    """The rows of batches in runs of at most `rows` rows and about `size` characters in `column` (a longer text alone).
+
+    Spark bounds a batch in bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set); what is made of its
+    rows is bounded here.
+    """
+    for batch in batches:
+        at = held = 0
+        for i, text in enumerate(batch[column]):
+            held += len(text) if text is not None else 0
+            if held > size and i > at or i - at >= rows:
+                yield batch.iloc[at:i]
+                at, held = i, len(text) if text is not None else 0
+        if at < len(batch):
+            yield batch.iloc[at:]
+
+
+def sampled(rows: DataFrame, share: Column) -> DataFrame:
+    """(doc_id, fp, text, ...) of the rows whose hash of doc_id and text lies below share, equal rows once.
+
+    Which rows these are depends on nothing but the rows. Equal rows are folded before they move, so a hot one is one.
+    """
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)
+    other = [c for c in rows.columns if c != "text"]
+    return rows.where(part).withColumn("fp", F.xxhash64("text")).groupBy("fp", *other).agg(F.first("text").alias("text"))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,7 +99,11 @@ def _remove_tree(path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new name in the shared folder; what is written there goes when the session's JVM ends, if not before."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -68,7 +111,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def spent(*tables: DataFrame) -> None:
+    """Remove tables of `written` that no plan reads any more."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def passing(rows: DataFrame, wanted: DataFrame, keys: list[str], keep: bool = True) -> DataFrame:
@@ -103,7 +159,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        before, now = now, written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        spent(before)
         next_seen = now.agg(F.count("*"), total).first()
         if next_seen == seen:
             break

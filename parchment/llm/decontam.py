@@ -1,23 +1,25 @@
-"""Benchmark decontamination with DataFrame functions only: broadcast windows of test items, scan, verify, remove.
+"""Benchmark decontamination with DataFrame functions only: a broadcast hash set of test windows, scan, verify, remove.
 
-A window is 13 consecutive words of an item (a shorter item is one window). Each document is scanned where it lies: a
-position is a candidate if the hash of its first three words opens some window; only candidates carry their words on
-to an exact join with the windows. Hits are folded to covered words by document.
+A window is 13 consecutive words of an item (a shorter item is one window). The windows' hashes make a hash set of
+bounded size (common.passing), which travels to every executor. Each document is scanned where it lies: every window of
+its words is hashed and looked up, and only those found carry their words on, to an exact join with the test windows.
+Hits are folded to covered words by document. Whole texts move only where a text is to be cut or to go.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import written
+from parchment.llm.common import passing, spent, written
 
-WINDOW, OPENING = 13, 3
+WINDOW = 13
 #: The words of the contract, in lower-cased and in raw text.
 WORD, RAW_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Openings held in a filter on the scan, and window rows that are broadcast, at most. Beyond the first every position
-#: goes to the join; beyond the second the join shuffles.
-MOST_OPENINGS, MOST_BROADCAST = 200_000, 500_000
+#: Bytes of test windows with their items up to which they are broadcast to the hits; beyond, the join is merged.
+BROADCAST_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,37 +36,64 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("w", "size").agg(F.collect_set("item").alias("items"))
 
 
-def _opening(words: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(min(OPENING, size))])
+def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell a document by its doc_id and text; equal rows share them."""
+    doc_id = doc_id.cast("string")
+    return F.xxhash64(doc_id, text, F.octet_length(text)), F.xxhash64(F.lit(7), text, doc_id)
 
 
-def _candidates_of(size: int, openings: list[int] | None) -> Column:
-    """The positions of `words` where a window of size words may begin, with its words."""
+def _windows_at(size: int, most: int) -> Column:
+    """An array of (start, w0, w1, ...), the windows of `size` words of `words`; the names up to w<most - 1> beyond are null."""
     words = F.col("words")
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-    if openings is not None:
-        starts = F.filter(starts, lambda i: _opening(words, i, size).isin(openings))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.array_join(F.slice(words, i + 1, size), " ").alias("w")))
+    n = F.size(words) - size + 1
+    parts = [F.slice(words, k + 1, n) if k < size else F.array_repeat(F.lit(None).cast("string"), n) for k in range(most)]
+    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("start"), *[p.alias(f"w{k}") for k, p in enumerate(parts)])
+    kind = f"array<struct<start:int,{','.join(f'w{k}:string' for k in range(most))}>>"
+    return F.when(n > 0, zipped.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): rows has doc_id, key and n_words for each row of docs; hits has for each key with a hit its spans
-    (start, size; in words from 0) and items. key is a hash of doc_id and text, so repeated rows share their hits."""
+    """(rows, hits): rows has doc_id, k1, k2 and n_words for each row of docs; hits has for each (k1, k2) with a hit its
+    spans (start, size; in words from 0) and items. k1 and k2 are row_keys, so repeated rows share their hits."""
     windows = written(windows_of(benchmark, window), "windows")
-    known = windows.select("size", F.slice(F.split("w", " "), 1, OPENING).alias("o")).select("size", F.xxhash64(F.get("o", 0), F.get("o", 1), F.get("o", 2)).alias("three"), F.xxhash64(F.get("o", 0), F.get("o", 1)).alias("two"), F.xxhash64(F.get("o", 0)).alias("one"))
-    known = known.select("size", F.when(F.col("size") >= 3, F.col("three")).when(F.col("size") == 2, F.col("two")).otherwise(F.col("one")).alias("h")).distinct()
-    few = known.limit(MOST_OPENINGS + 1).collect()
-    sizes = sorted({r["size"] for r in few} if len(few) <= MOST_OPENINGS else {r["size"] for r in known.select("size").distinct().collect()})
-    openings = {s: [r["h"] for r in few if r["size"] == s] for s in sizes} if len(few) <= MOST_OPENINGS else {}
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.octet_length("text")).alias("key"), F.coalesce(words_of(F.col("text").cast("string")), F.array().cast("array<string>")).alias("words"))
-    found = [_candidates_of(size, openings.get(size)) for size in sizes]
-    candidates = F.concat(*found) if found else F.array().cast("array<struct<start:int,size:int,w:string>>")
-    scanned = written(split.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), candidates.alias("candidates")), "scanned")
-    rows = scanned.select("doc_id", "key", "n_words")
-    side = F.broadcast(windows) if windows.count() <= MOST_BROADCAST else windows
-    hits = scanned.select("key", F.explode("candidates").alias("c")).select("key", "c.*").join(side, ["w", "size"])
-    hits = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return rows, hits
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # `window` rows at most
+    most = max(sizes, default=1)
+    text = F.col("text").cast("string")
+    k1, k2 = row_keys(F.col("doc_id"), text)
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.coalesce(words_of(text), F.array().cast("array<string>")).alias("words"))
+    # the first element, a null, stands for the document itself: one pass gives its row and its windows
+    first = F.array(F.lit(None).cast(f"struct<start:int,{','.join(f'w{k}:string' for k in range(most))}>"))
+    every = F.concat(first, *[_windows_at(size, most) for size in sizes])
+    each = [F.col("x")[f"w{k}"] for k in range(most)]
+    rows = split.select("doc_id", "k1", "k2", F.size("words").cast("long").alias("n_words"), F.explode(every).alias("x"))
+    rows = rows.withColumn("h", F.when(F.col("x").isNotNull(), F.xxhash64(*each)))
+    # null, the hash of the documents' own rows, is put into the set, so they pass
+    known = windows.select(F.xxhash64(*[F.get(F.split("w", " "), k) for k in range(most)]).alias("h")).union(docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("h")))
+    found = passing(rows, known, ["h"])
+    size = reduce(lambda a, b: a + b, [F.when(w.isNotNull(), 1).otherwise(0) for w in each])
+    found = found.select("doc_id", "k1", "k2", "n_words", F.col("x.start").alias("start"), size.alias("size"), F.when(F.col("x").isNotNull(), F.concat_ws(" ", *each)).alias("w"))
+    scanned = written(found, "scanned")
+    weight = windows.agg(F.sum(F.octet_length("w") + 48 + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16))).first()[0] or 0
+    side = F.broadcast(windows) if weight <= BROADCAST_BYTES else windows.hint("merge")
+    hits = scanned.where("w is not null").join(side, ["w", "size"]).groupBy("k1", "k2")
+    hits = hits.agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = written(hits, "hits")
+    spent(windows)
+    return scanned.where("w is null").select("doc_id", "k1", "k2", "n_words"), hits
+
+
+def merged(spans: Column) -> Column:
+    """Spans (start, size), sorted, as runs (start, stop) that neither overlap nor touch."""
+    kind = "array<struct<start:int,stop:int>>"
+
+    def step(runs: Column, x: Column) -> Column:
+        stop = x["start"] + x["size"]
+        last = F.element_at(runs, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], stop).alias("stop"))
+        touches = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["stop"] >= x["start"])
+        return F.when(touches, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(runs, F.array(F.struct(x["start"].alias("start"), stop.alias("stop")))))
+
+    return F.aggregate(spans, F.array().cast(kind), step)
 
 
 def covered(spans: Column) -> Column:
@@ -85,7 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     doc_ids stay as rows; items with a null id or no word have no window. Other columns are ignored.
     """
     rows, hits = find_hits(docs, benchmark, window)
-    out = rows.join(hits, "key", "left")
+    out = rows.join(hits, ["k1", "k2"], "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long")
     out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -94,25 +123,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs less contaminated rows; in the others the words of a hit go, with what stands between them.
 
-    Columns stay as they are; n_chars follows a text that was cut. Rows without a hit are untouched.
+    Columns stay as they are; n_chars follows a text that was cut. Rows without a hit are untouched and don't move; to
+    tell them takes a filter of bounded size.
     """
     columns = docs.columns
     rows, hits = find_hits(docs, benchmark, window)
-    spans = written(rows.select("key", "n_words").distinct().join(hits.drop("items"), "key").select("key", "spans", (20 * covered(F.col("spans")) >= F.col("n_words")).alias("bad")).withColumnsRenamed({"key": "__key", "spans": "__spans", "bad": "__bad"}), "spans")
-    # whole texts are moved only where the spans of all documents with a hit are too many to send to each executor
-    if spans.agg(F.coalesce(F.sum(F.size("__spans") + 1), F.lit(0))).first()[0] <= MOST_BROADCAST:
-        spans = F.broadcast(spans)
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.octet_length("text")))
-    out = keyed.join(spans, "__key", "left").where("__bad is null or not __bad")
-    hit = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
-    out = out.withColumn("__hit", hit)
+    spans = rows.join(hits.drop("items"), ["k1", "k2"]).select("k1", "k2", "spans", (20 * covered(F.col("spans")) >= F.col("n_words")).alias("bad")).dropDuplicates(["k1", "k2"])
+    spans = written(spans.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans", "bad": "__bad"}), "spans")
+    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
+    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
+    far = passing(keyed, spans, ["__k1", "__k2"], keep=False).select(*columns)
+    near = passing(keyed, spans, ["__k1", "__k2"]).join(spans.hint("merge"), ["__k1", "__k2"], "left").where("__bad is null or not __bad")
+    hit = F.col("__spans").isNotNull()
+    near = near.withColumn("__runs", F.when(hit, merged(F.col("__spans"))))
     kept, between = F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0)), F.split("text", RAW_WORD, -1)
-    out = out.withColumn("__kept", F.when(F.col("__hit").isNotNull(), kept)).withColumn("__between", F.when(F.col("__hit").isNotNull(), between))
-    gone = lambda i: F.array_contains("__hit", i)
-    word = lambda i: F.when(gone(i), F.lit("")).otherwise(F.get("__kept", i))
-    space = lambda i: F.when(gone(i) & gone(i + 1), F.lit("")).otherwise(F.get("__between", i + 1))
-    cut = F.concat(F.get("__between", F.lit(0)), F.array_join(F.transform(F.sequence(F.lit(0), F.size("__kept") - 1), lambda i: F.concat(word(i), space(i))), ""))
-    out = out.withColumn("text", F.when(F.col("__hit").isNotNull(), cut).otherwise(F.col("text")))
+    # each word with what follows it; of a run that goes only what follows its last word stays
+    near = near.withColumn("__between", F.when(hit, between)).withColumn("__parts", F.when(hit, F.zip_with(kept, F.slice(between, 2, F.size(between) - 1), lambda a, b: F.concat(a, b))))
+    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("__runs", k - 1)["stop"])
+    piece = lambda start, stop: F.array_join(F.slice("__parts", start + 1, stop - start), "")
+    runs = F.transform("__runs", lambda r, k: F.concat(piece(before(k), r["start"]), F.get("__between", r["stop"])))
+    last = F.element_at("__runs", -1)["stop"]
+    cut = F.concat(F.get("__between", F.lit(0)), F.array_join(runs, ""), piece(last, F.size("__parts")))
+    near = near.withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hit").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        near = near.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return far.unionByName(near.select(*columns))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import components, passing, prepare, written
+from parchment.llm.common import components, known_id, passing, pieces, prepare, spent, with_known_id, written
 
 WORDS, THRESHOLD, RUNS, DEPTH = 5, 0.8, 10, 3
 #: The share of links the search finds at least, for pairs at the threshold and whatever is split.
@@ -167,38 +167,37 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("fp"), text.alias("text"))
 
 
-def _ids(values: list) -> pd.array:
-    return pd.array([None if pd.isna(x) else int(x) for x in values], dtype="Int64")
-
-
 def _signed(docs: DataFrame, words: int, runs: int, threshold: float) -> DataFrame:
     """(doc_id, fp, set_key, size, chars, sketch, keys) of (doc_id, fp, text): the set and its first picks in each run."""
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple] = []
             for text in batch["text"]:
                 s = shingles(text, words)
                 rows.append((set_key(s), len(s), len(text), sketch(s), paths(s, runs, 1, threshold)[2]) if len(s) else (None, 0, len(text or ""), b"", []))
             out = pd.DataFrame(rows, columns=["set_key", "size", "chars", "sketch", "keys"])
-            out["set_key"] = _ids([r[0] for r in rows])
-            out.insert(0, "fp", batch["fp"].to_numpy())
-            out.insert(0, "doc_id", _ids(batch["doc_id"]))
+            out["set_key"] = pd.array([r[0] for r in rows], dtype="Int64")
+            for at, name in enumerate(("doc_id", "known", "fp")):
+                out.insert(at, name, batch[name].to_numpy())
             yield out
 
-    return docs.mapInPandas(sign, "doc_id long, fp long, set_key long, size long, chars long, sketch binary, keys array<bigint>")
+    done = with_known_id(docs, F.col("fp"), F.col("text")).mapInPandas(sign, "doc_id long, known boolean, fp long, set_key long, size long, chars long, sketch binary, keys array<bigint>")
+    return done.withColumn("doc_id", known_id()).drop("known")
 
 
 def _paths(docs: DataFrame, words: int, runs: int, depth: int, threshold: float) -> DataFrame:
     """(set_key, level, parent, key): the nodes that the sets of docs (text) pick in all runs, a row each."""
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches, rows=50):
+            found: tuple[list, list, list, list] = ([], [], [], [])
             for text in batch["text"]:
-                s = shingles(text, words)
-                if len(s):
-                    levels, parents, keys = paths(s, runs, depth, threshold)
-                    yield pd.DataFrame({"set_key": np.full(len(keys), set_key(s), np.int64), "level": np.array(levels, np.int32), "parent": np.array(parents, np.int64), "key": np.array(keys, np.int64)})
+                if len(s := shingles(text, words)):
+                    picks = paths(s, runs, depth, threshold)
+                    for column, values in zip(found, ([set_key(s)] * len(picks[2]), *picks)):
+                        column += values
+            yield pd.DataFrame(dict(zip(("set_key", "level", "parent", "key"), (np.array(x, np.int32 if k == 1 else np.int64) for k, x in enumerate(found)))))
 
     return docs.select("text").mapInPandas(sign, "set_key long, level int, parent long, key long")
 
@@ -263,23 +262,25 @@ def _bucket_edges(buckets: DataFrame, threshold: float) -> DataFrame:
     return buckets.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _met(rows: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, held: list[DataFrame]) -> DataFrame:
     """(set_key, key, n) of rows (set_key, key) whose bucket has n members, two at least.
 
     Counts are partial sums, so a hot bucket is no hot task. They are written before they are joined: both sides of the
     join are then plain shuffles, of which Spark splits a skewed one, and it is merged at every size, since the counts
-    grow with the documents.
+    grow with the documents. What is written is added to held.
     """
     counts = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    return written(rows.join(counts.hint("merge"), "key"), "buckets")
+    held.append(written(rows.join(counts.hint("merge"), "key"), "buckets"))
+    spent(counts)
+    return held[-1]
 
 
-def _leaves(nodes: DataFrame, depth: int, limit: int) -> DataFrame:
+def _leaves(nodes: DataFrame, depth: int, limit: int, held: list[DataFrame]) -> DataFrame:
     """The path search over nodes (set_key, level, parent, key): (set_key, key, blocks) for each set in a bucket to
     compare; buckets over limit are split until the last level, and there dealt into blocks."""
     rows, leaves = nodes.where("level = 1").select("set_key", "key"), []
     for level in range(1, depth + 1):
-        met = _met(rows)
+        met = _met(rows, held)
         if level == depth:
             leaves.append(met.select("set_key", "key", F.ceil(F.col("n") / limit).cast("int").alias("blocks")))
             break
@@ -395,24 +396,32 @@ def _linked(docs: DataFrame, words: int, threshold: float, runs: int, depth: int
     first = written(there.groupBy("set_key").agg(F.min(F.struct("doc_id", "fp")).alias("at"), F.count("*").alias("copies")).select("set_key", "at.*", "copies"), "first")
     sets = there.join(first.drop("copies").hint("merge"), ["set_key", "doc_id", "fp"]).groupBy("set_key")
     sets = written(sets.agg(*[F.first(c).alias(c) for c in ("doc_id", "fp", "size", "chars", "sketch", "keys")]), "sets")
-    met = _met(sets.select("set_key", F.explode("keys").alias("key")))
+    held: list[DataFrame] = []
+    met = _met(sets.select("set_key", F.explode("keys").alias("key")), held)
     leaf = met.where(f"n <= {limit}").select("set_key", "key", F.lit(1).alias("blocks"))
     large = met.where(f"n > {limit}").select("set_key").distinct()
     if not large.isEmpty():
         split = written(sets.select("set_key", "doc_id", "fp").join(large.hint("merge"), "set_key"), "split")
         again = written(_paths(_texts(docs, split), words, most, depth, threshold), "paths")
-        leaf = leaf.union(_leaves(again, depth, limit))
-    group = components(_candidates(leaf, sets, threshold), "candidates")
-    group = written(group.withColumnsRenamed({"node": "set_key", "root": "group"}), "groups")
+        spent(split)
+        leaf = leaf.union(_leaves(again, depth, limit, held))
+        held.append(again)
+    group = written(components(_candidates(leaf, sets, threshold), "candidates").select(F.col("node").alias("set_key"), F.col("root").alias("group")), "groups")
+    spent(*held)
+    # written before they are counted and joined: both sides of the join are plain shuffles, of which Spark splits a skewed one
     members = sets.select("set_key", "doc_id", "fp", "chars").join(group.hint("merge"), "set_key").join(first.select("set_key", "copies").hint("merge"), "set_key")
-    sums = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    sums = sums.select("group", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("chars") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = members.drop("chars").join(sums.hint("merge"), "group").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     members = written(members, "members")
-    told = _texts(docs, members).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spent(sets, group)
+    sums = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    sums = written(sums.select("group", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("chars") / BLOCK_BYTES)).cast("int").alias("blocks")), "sums")
+    placed = members.drop("chars").join(sums.hint("merge"), "group").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    placed = written(placed, "placed")
+    spent(members, sums)
+    told = _texts(docs, placed).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     told = told.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     told = told.groupBy("group", "i", "j", (F.col("blocks") > 1).alias("many")).agg(F.collect_list(F.struct("set_key", "copies", "block", "text")).alias("members"))
     found = written(_exact(told.select("i", "j", "many", "members"), words, threshold), "links")
+    spent(placed)
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if not (split := found.where("many")).isEmpty():  # links of groups over several blocks are joined once more
         joined = components(split.select(F.col("set_key").alias("a"), F.col("root").alias("b")), "classes")

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import prepare
+from parchment.llm.common import prepare, sampled
 
-#: Texts that a model learns from, at most; share of a second-best loss below which a decision is ambiguous.
-TRAIN_ROWS, LEAD = 3000, 0.15
+#: Texts that a model learns from, dealt evenly to the languages, and their bytes; the longest text among them (longer
+#: ones are judged like all others, but teach nothing); share of a second-best loss below which a decision is ambiguous.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_LONGEST, LEAD = 3000, 24 << 20, 1 << 20, 0.15
 PAIRS, TRIPLES = 2048, 6144
 _latin = re.compile("[A-Za-z]")
 _low = np.arange(256, dtype=np.int64)
@@ -98,17 +99,22 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train_language_model(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Fit on about `rows` labelled texts outside the held-out part: those of the least hashes of doc_id.
+def train_language_model(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> LanguageModel:
+    """Fit on a sample of the labelled texts outside the held-out part: of each language, by hash of doc_id and text,
+    about its share of `rows` rows and of `size` bytes, so a rare language is learned too.
 
     Rows with a null lang, text or doc_id teach nothing. Without any labelled text the model answers `und`.
     """
     prepare(docs.sparkSession)
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h"))
-    total = known.select("doc_id").count()
-    most = (1 << 20) * min(1.0, rows / max(1, total))
-    sample = known.where(F.col("h") < most).limit(2 * rows).toPandas().sort_values(["h", "doc_id", "text"])
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= TRAIN_LONGEST))
+    known = known.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # a row for each language
+    totals = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    shares = {r["lang"]: min(1.0, rows / len(totals) / r["n"], size / len(totals) / max(1, r["size"])) for r in totals}
+    if not shares:
+        return LanguageModel([], [])
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+    sample = sampled(known, share).select("doc_id", "fp", "lang", "text").toPandas().sort_values(["doc_id", "fp", "lang"])
     sample = sample[[has_letter(t) for t in sample["text"]]] if len(sample) else sample
     return LanguageModel(sample["text"].tolist(), sample["lang"].tolist())
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import prepare, scratch_path
+from parchment.llm.common import known_id, pieces, prepare, scratch_path, with_known_id
 
 FRAME = 576  # samples in a frame, and the bytes a payload is padded to
 UNIT = 64 * FRAME  # bytes in an access unit, at most
@@ -173,18 +173,19 @@ def store_media(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def store(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for text in batch["text"]:
                 payload, size = padded(text)
                 stream, points = mux(payload)
                 rows.append((size, stream, [{"pts": a, "offset": b} for a, b in points]))
             out = pd.DataFrame(rows, columns=["n_bytes", "media", "access"])
-            out.insert(0, "doc_id", pd.array([None if pd.isna(x) else int(x) for x in batch["doc_id"]], dtype="Int64"))
+            for at, name in enumerate(("doc_id", "known")):
+                out.insert(at, name, batch[name].to_numpy())
             yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(store, "doc_id long, n_bytes long, media binary, access array<struct<pts:bigint,offset:bigint>>")
+    done = with_known_id(docs, F.col("text").cast("string").alias("text")).mapInPandas(store, "doc_id long, known boolean, n_bytes long, media binary, access array<struct<pts:bigint,offset:bigint>>")
+    return done.withColumn("doc_id", known_id()).drop("known")
 
 
 def describe(payload: bytes, found: dict) -> str:
@@ -198,22 +199,28 @@ def describe(payload: bytes, found: dict) -> str:
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and, from the stored bytes, payload and media sizes and digests and a feature string."""
+    """doc_id, n_bytes and, from the stored bytes, payload and media sizes and digests and a feature string.
+
+    The stored access points are held against the stream: their times, and the payload that the last one opens.
+    """
     prepare(stored.sparkSession)
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches, "media"):
             rows = []
-            for stream in batch["media"]:
+            for stream, access in zip(batch["media"], batch["access"]):
                 payload, found = demux(stream)
+                if [a["pts"] for a in access] != found["times"] or len(access) > 1 and not payload.endswith(demux(stream[access[-1]["offset"] :])[0]):
+                    raise StreamError("access points that lead elsewhere")
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(payload, found)))
             out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            out.insert(0, "n_bytes", batch["n_bytes"].to_numpy())
-            out.insert(0, "doc_id", pd.array([None if pd.isna(x) else int(x) for x in batch["doc_id"]], dtype="Int64"))
+            for at, name in enumerate(("doc_id", "known", "n_bytes")):
+                out.insert(at, name, batch[name].to_numpy())
             yield out
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInPandas(read, schema)
+    schema = "doc_id long, known boolean, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    done = with_known_id(stored, F.col("n_bytes"), F.col("media"), F.col("access")).mapInPandas(read, schema)
+    return done.withColumn("doc_id", known_id()).drop("known")
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import prepare
+from parchment.llm.common import known_id, pieces, prepare, with_known_id
 from parchment.llm.tokens import default_tokenizer, encoder
 
 LONGEST = 1024
@@ -36,28 +36,26 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
         raise ValueError("longest must be a power of two")
     prepare(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"] + ["ids"] * with_ids
+    names = ["known", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"] + ["ids"] * with_ids
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
         coder = encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             cols: list[list] = [[] for _ in names]
-            for doc_id, ids in zip(batch["doc_id"], coder.encode([x or "" for x in batch["text"]])):
+            for doc_id, known, ids in zip(batch["doc_id"].tolist(), batch["known"].tolist(), coder.encode([x or "" for x in batch["text"]])):
                 ids, at = memoryview(ids + b"\0\0\0\0"), 0
                 total = len(ids) // 4
                 for n in piece_lengths(total, longest):
                     piece = ids[4 * at : 4 * (at + n)]
-                    row = (doc_id, at, n, zlib.crc32(piece), total, number, 0, n.bit_length() - 1) + ((bytes(piece),) if with_ids else ())
+                    row = (known, doc_id, at, n, zlib.crc32(piece), total, number, 0, n.bit_length() - 1) + ((bytes(piece),) if with_ids else ())
                     for col, x in zip(cols, row):
                         col.append(x)
                     at, number = at + n, number + 1
-            out = {k: np.array(v, dtype=np.int64) if k not in ("doc_id", "ids") else v for k, v in zip(names, cols)}
-            out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64")
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({k: np.array(v, dtype=np.int64) if k not in ("known", "ids") else v for k, v in zip(names, cols)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = {"ids": "binary", "bucket": "int"}
-    return rows.mapInPandas(cut, ", ".join(f"{k} {kinds.get(k, 'long')}" for k in names))
+    kinds = {"known": "boolean", "ids": "binary", "bucket": "int"}
+    found = with_known_id(docs, F.col("text").cast("string").alias("text")).mapInPandas(cut, ", ".join(f"{k} {kinds.get(k, 'long')}" for k in names))
+    return found.withColumn("doc_id", known_id()).drop("known")

@@ -2,8 +2,9 @@
 
 The patterns find the three base kinds. Beside them, labelled credentials (and labelled ordinary strings) are made
 into prefix trees whose statistically compatible states are merged (ALERGIA), which gives two probabilistic automata.
-Every candidate, a run of credential characters with a letter and a digit, is scored by its likelihood per character
-as a credential against that of an ordinary string; those above a threshold are added as kind `learned`.
+Every run of credential characters that no base span covers is a candidate, of any length, and so is each part of it
+between `/`, `=`, `.` and `:` where the whole is none. A candidate is scored by its likelihood as a credential against
+that of an ordinary string; it is told, as kind `learned`, if the evidence outweighs how rare credentials are.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ from parchment.llm.common import prepare
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Nats a character by which a candidate must look more like a credential, and labelled strings a format.
-MARGIN, LABELLED = 0.35, 120
+#: Runs of lower-case hex of 24 and more, from where no such character stands before.
+LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+PART = re.compile(r"[A-Za-z0-9+_-]+")
+#: Nats by which a candidate must look more like a credential: the odds of one among a corpus's strings are put at one
+#: in 1.2 million; nats a character, so that a long string doesn't gather them from small differences; labelled strings
+#: a format; distinct strings remembered; the share of characters that follow no grammar.
+EVIDENCE, MARGIN, LABELLED, REMEMBERED, CHANCE = 14.0, 0.25, 200, 200_000, 0.02
 
 _CLASS = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G")}
 _WIDTH = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
@@ -112,14 +117,25 @@ class Automaton:
                 else:
                     self.next[p][s] = self.next[q][s]
 
-    def score(self, text: str) -> float:
-        """Log likelihood of text and its end; unseen symbols get the share of one more observation spread over 90."""
-        at, total = 0, 0.0
-        for c in symbols(text):
-            seen, n = self.seen[at].get(c, 0), self.visits[at]
-            total += math.log((seen + 1 / 90) / (n + 1)) - math.log(_WIDTH.get(c, 1))
-            at = self.next[at].get(c, 0)
-        return total + math.log((self.ends[at] + 1 / 90) / (self.visits[at] + 1))
+    def step(self, at: int, c: str) -> tuple[float, int]:
+        """Log likelihood of a character, by its class, in a state, and the next state: a small share of all characters
+        is put down to chance, and what no labelled string has there leads back to the first state."""
+        share = self.seen[at].get(c, 0) / max(1, self.visits[at]) / _WIDTH.get(c, 1)
+        return math.log((1 - CHANCE) * share + CHANCE / 67), self.next[at].get(c, 0)
+
+    def end(self, at: int) -> float:
+        return math.log((1 - CHANCE) * self.ends[at] / max(1, self.visits[at]) + CHANCE / 67)
+
+
+def _runs_of(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans as runs that don't overlap, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 def labelled_credentials(count: int = LABELLED, seed: int = 1) -> list[str]:
@@ -134,28 +150,48 @@ def labelled_credentials(count: int = LABELLED, seed: int = 1) -> list[str]:
         lambda: "sk-" + body(upper + lower + digit, 48),
         lambda: "xoxb-" + body(digit, 12) + "-" + body(upper + lower + digit, 24),
         lambda: body(upper + lower + digit + "+/", rng.choice((32, 40, 44))) + rng.choice(("", "=", "==")),
+        lambda: body(upper + lower + digit, rng.randint(12, 24)),
+        lambda: body(lower + digit, rng.choice((20, 24, 32))),
         lambda: "eyJ" + body(upper + lower + digit, 30) + "." + body(upper + lower + digit + "_-", 40) + "." + body(upper + lower + digit + "_-", 43),
     )
     return [make() for make in formats for _ in range(count)]
 
 
 def labelled_ordinary(count: int = LABELLED, seed: int = 2) -> list[str]:
-    """Strings of credential characters that are none: words, names with numbers, dates, paths, versions."""
+    """Strings of credential characters that are none: words, identifiers, numbers, dates, paths, versions, UUIDs."""
     rng = random.Random(seed)
-    syllables = ("an", "ber", "ci", "der", "ed", "en", "er", "ion", "ing", "la", "le", "ment", "on", "ou", "que", "re", "sch", "st", "th", "ti", "tion", "un", "ver", "wh")
+    syllables = ("an", "ber", "ci", "der", "ed", "en", "er", "ion", "ing", "la", "le", "ment", "on", "ou", "que", "re", "sch", "st", "th", "ti", "tion", "un", "ver", "wh", "zu", "k", "jo", "pra", "xi", "fy", "gno", "mb")
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 6)))
     number = lambda n: str(rng.randrange(10 ** (n - 1), 10**n))
+    some = lambda: number(rng.randint(1, 9))
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     formats = (
+        word,
+        lambda: word() + ".",
+        lambda: word().capitalize(),
+        lambda: word().upper(),
+        some,
+        lambda: "_".join(word() for _ in range(rng.randint(2, 6))).upper(),
+        lambda: word().upper() + "_" + word().upper() + some(),
         lambda: "".join(word() for _ in range(3)),
         lambda: word().capitalize() + "." + word().capitalize() + "." + word(),
         lambda: "-".join(word() for _ in range(4)),
+        lambda: "_".join(word() for _ in range(rng.randint(2, 4))),
         lambda: word() + "_" + word() + "_" + number(4),
         lambda: word() + word() + "." + number(2),
+        lambda: word() + some() + word() + some(),
+        lambda: word() + some(),
+        lambda: word() + "".join(word().capitalize() for _ in range(rng.randint(1, 3))) + rng.choice(("", some())),
         lambda: f"{number(4)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{number(2)}.{number(2)}.{number(6)}",
+        lambda: f"{number(4)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
         lambda: "/" + word() + "/" + word() + "/" + word() + "/" + number(3) + ".html",
-        lambda: ".".join(number(3) for _ in range(5)),
-        lambda: number(rng.randint(16, 19)),
-        lambda: "=" * 8 + word() + "=" * 8,
+        lambda: "//" + word() + "." + word() + ".com/" + word() + "/" + word() + some(),
+        lambda: ".".join(number(3) for _ in range(rng.randint(2, 5))),
+        lambda: "-".join(hexed(n) for n in (8, 4, 4, 4, 12)),
+        lambda: hexed(rng.choice((6, 7, 8, 10, 12))),
+        lambda: number(rng.randint(10, 19)),
+        lambda: "-".join(some() for _ in range(rng.randint(2, 5))),
+        lambda: rng.choice("=-_.") * rng.randint(2, 40) + rng.choice(("", word())),
     )
     return [make() for make in formats for _ in range(count)]
 
@@ -163,14 +199,51 @@ def labelled_ordinary(count: int = LABELLED, seed: int = 2) -> list[str]:
 class Scanner:
     """Finds spans (start, end, kind) in a text; offsets are code points and end is exclusive."""
 
-    def __init__(self, credentials: list[str] | None = None, ordinary: list[str] | None = None, margin: float = MARGIN):
+    def __init__(self, credentials: list[str] | None = None, ordinary: list[str] | None = None, evidence: float = EVIDENCE, margin: float = MARGIN):
         self.credential = Automaton(credentials or labelled_credentials())
         self.ordinary = Automaton(ordinary or labelled_ordinary())
-        self.margin = margin
+        self.evidence, self.margin = evidence, margin
+        self._forget()
+
+    def _forget(self) -> None:
+        self.plain: set[str] = set()
+        self.steps: dict[tuple[int, int], dict[str, tuple[float, tuple[int, int]]]] = {}
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("plain", "steps")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._forget()
 
     def likelihood(self, text: str) -> float:
-        """Nats a character in favour of a credential."""
-        return (self.credential.score(text) - self.ordinary.score(text)) / (len(text) + 1)
+        """Nats in favour of a credential. Both automata step at once; what a step weighs is remembered by states and class."""
+        at, total = (0, 0), 0.0
+        for c in symbols(text):
+            row = self.steps.get(at)
+            if row is None:
+                row = self.steps[at] = {}
+            step = row.get(c)
+            if step is None:
+                (a, p), (b, q) = self.credential.step(at[0], c), self.ordinary.step(at[1], c)
+                step = row[c] = (a - b, (p, q))
+            total += step[0]
+            at = step[1]
+        return total + self.credential.end(at[0]) - self.ordinary.end(at[1])
+
+    def told(self, text: str) -> bool:
+        found = self.likelihood(text)
+        return found >= self.evidence and found >= self.margin * len(text)
+
+    def _secret(self, run: str) -> list[tuple[int, int]]:
+        """The spans in a run: the whole, less the dots and dashes at its ends, or else those of its parts that are told."""
+        bare = run.strip(".-_/")
+        if not bare:
+            return []
+        start = run.index(bare)
+        if self.told(bare):
+            return [(start, start + len(bare))]
+        return [(m.start(), m.end()) for m in PART.finditer(run) if len(m[0]) < len(bare) and self.told(m[0])]
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         low = text.lower()
@@ -179,29 +252,33 @@ class Scanner:
             found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         if "AKIA" in text:
             found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-        return found
+        return found + [(m.start(), m.end(), "hex") for m in LONG_HEX.finditer(text)]
 
     def scan(self, text: str | None) -> list[tuple[int, int, str]]:
         if not text:
             return []
         found = self.base(text)
-        words = text.split()
-        longest = max(map(len, words), default=0)
-        if longest >= 16:
-            at = 0
-            seen = []
-            for w in [w for w in words if len(w) >= 16]:
-                at = text.find(w, at)
-                if len(w) >= 24:
-                    found += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(w) if len(m[0]) >= 24]
-                if not w.isalpha():
-                    seen += [(at + m.start(), at + m.end()) for m in CANDIDATE.finditer(w)]
-                at += len(w)
-            base = sorted(found)
-            for start, end in seen:
-                part = text[start:end]
-                if any(c.isdigit() for c in part) and any(c.isalpha() for c in part) and not any(s < end and start < e for s, e, _ in base) and self.likelihood(part) >= self.margin:
-                    found.append((start, end, "learned"))
+        # runs known to hold nothing are passed over as a set; the rest are few
+        runs = set(CANDIDATE.findall(text)) - self.plain
+        odd = {}
+        for run in runs:
+            if spans := self._secret(run):
+                odd[run] = spans
+        if len(self.plain) > REMEMBERED:
+            self.plain = set()
+        self.plain |= runs - odd.keys()
+        taken = _runs_of(found)
+        if odd or taken:
+            for m in CANDIDATE.finditer(text):
+                cuts = [(a, b) for a, b in taken if a < m.end() and m.start() < b] if taken else []
+                if cuts:  # what base spans leave of the run
+                    at = m.start()
+                    for a, b in [*cuts, (m.end(), m.end())]:
+                        if at < a:
+                            found += [(at + x, at + y, "learned") for x, y in self._secret(text[at:a])]
+                        at = max(at, b)
+                elif m[0] in odd:
+                    found += [(m.start() + x, m.start() + y, "learned") for x, y in odd[m[0]]]
         return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
     def redact(self, text: str | None) -> str | None:

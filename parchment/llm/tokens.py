@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import prepare, scratch_path, shuffle_width
+from parchment.llm.common import known_id, pieces, prepare, scratch_path, shuffle_width, with_known_id
 
-FRAME_IDS = 1 << 16
+#: Ids in a frame, text bytes that a shard is dealt (more shards where the cluster has more tasks), ids that a reading task takes.
+FRAME_IDS, SHARD_BYTES, READ_IDS = 1 << 16, 512 << 20, 1 << 24
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 0
 
@@ -36,7 +37,8 @@ class ChunkEncoder:
     The tokenizer's split pattern never joins characters across a single space or line end between non-space
     characters: the space opens the next piece, the line end is a piece. Nor does it join a letter or digit to
     punctuation after it. So a text is cut there, and each cut is asked of the library once while it is remembered.
-    Where white space touches white space the library gets the whole text. Memory is bounded by capacity.
+    Where white space touches white space, or an added token such as <|endoftext|> stands, the library gets the whole
+    text. Memory is bounded by capacity.
     """
 
     odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -46,7 +48,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.capacity, self.longest = capacity, longest
         self.known: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
@@ -95,7 +97,7 @@ class ChunkEncoder:
         known, parts, new = self.known, [], set()
         for text in texts:
             led = "\n" + text
-            if "  " in led or " \n" in led or "\n " in led or "\n\n" in led or led[-1] == " " or self.odd.search(led):
+            if "  " in led or " \n" in led or "\n " in led or "\n\n" in led or led[-1] == " " or self.odd.search(led) or any(t in led for t in self.added):
                 parts.append(None)
                 continue
             chunks = led.replace("\n", " \n").split(" ")
@@ -229,13 +231,13 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("/") else "file://" + uri)
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write documents (doc_id, text) as shards in ascending doc_id order; returns (part, path, docs, ids, bytes).
 
-    Rows are dealt by range of doc_id, so shards follow each other in order and none holds more than its share. Null
-    doc_id comes first; rows of one doc_id follow each other by text; null text is an empty document (only the end
-    id). An empty table writes nothing. Other columns are ignored. Each file appears by a rename, so a task that runs
-    again leaves the same file.
+    Rows are dealt by range of doc_id and a hash of the text, about shard_bytes of text a shard, so shards follow each
+    other in order and the different texts of one doc_id may go over several. Null doc_id comes first; rows of one
+    doc_id follow each other by that hash; null text is an empty document (only the end id). An empty table writes
+    nothing. Other columns are ignored. Each file appears by a rename, so a task that runs again leaves the same file.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -248,69 +250,67 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None) -
         part, writer, name, sink = task.partitionId(), None, "", None
         store, base = _store(out)
         coder = encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 name = f"{base}/shard-{part:06d}.zst"
                 sink = store.open_output_stream(f"{name}.{task.taskAttemptId()}")
                 writer = ShardWriter(sink)
-            texts = [x or "" for x in batch["text"]]
-            for doc_id, ids in zip(batch["doc_id"], coder.encode(texts)):
-                writer.add(None if pd.isna(doc_id) else int(doc_id), ids + b"\0\0\0\0")
+            for doc_id, known, ids in zip(batch["doc_id"].tolist(), batch["known"], coder.encode([x or "" for x in batch["text"]])):
+                writer.add(doc_id if known else None, ids + b"\0\0\0\0")
         if writer is not None:
             writer.close()
             sink.close()
             store.move(f"{name}.{task.taskAttemptId()}", name)
             yield pd.DataFrame([(part, f"{out}/shard-{part:06d}.zst", len(writer.docs), writer.ids, writer.size)], columns=["part", "path", "docs", "ids", "bytes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(max(2, shuffle_width(spark)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInPandas(write, "part long, path string, docs long, ids long, bytes long")
+    text = F.col("text").cast("string")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"))
+    dealt = rows.repartitionByRange(max(2, shuffle_width(spark), -(-size // shard_bytes)), "doc_id", "fp").sortWithinPartitions("doc_id", "fp")
+    return with_known_id(dealt, F.col("text")).mapInPandas(write, "part long, path string, docs long, ids long, bytes long")
 
 
-def read_token_files(spark: SparkSession, manifest: list, with_ids: bool = False) -> DataFrame:
+def read_token_files(spark: SparkSession, manifest: list, with_ids: bool = False, read_ids: int = READ_IDS) -> DataFrame:
     """Documents of the shards in manifest (rows of write_token_files): doc_id, start, n_tokens, ids_crc32[, ids].
 
-    start counts the ids of all documents before, over all shards. A task reads a shard, a frame at a time.
+    start counts the ids of all documents before, over all shards. A task takes the documents of about read_ids ids: it
+    reads a shard's index, and of its frames only those that hold them, one at a time.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     if not manifest:
         return spark.createDataFrame([], schema)
     prepare(spark)
     order = sorted(manifest, key=lambda r: r["part"])
-    before = np.concatenate([[0], np.cumsum([r["ids"] for r in order])])
-    files = [(r["path"], int(b)) for r, b in zip(order, before)]
-    names = [x.split()[0] for x in schema.split(", ")]
+    before = np.concatenate([[0], np.cumsum([r["ids"] for r in order])]).tolist()
+    runs = [(r["path"], b, r["ids"] * k // n, r["ids"] * (k + 1) // n) for r, b in zip(order, before) for n in [-(-r["ids"] // read_ids)] for k in range(n)]
+    names = ["known", *(x.split()[0] for x in schema.split(", "))]
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for uri, base in zip(batch["path"], batch["base"]):
+            for uri, base, low, high in zip(batch["path"], batch["base"], batch["low"], batch["high"]):
                 store, name = _store(uri)
                 with store.open_input_file(name) as source:
                     shard, rows, held = ShardReader(source), [], 0
-                    for i in range(len(shard.doc_ids)):
+                    first, last = np.searchsorted(shard.starts[:-1], [low, high]).tolist()
+                    for i in range(first, last):
                         crc, kept = 0, []
                         for part in shard.parts(i):
                             crc = zlib.crc32(part, crc)
                             if with_ids:
                                 kept.append(part)
-                        row = (int(shard.doc_ids[i]) if shard.known[i] else None, base + int(shard.starts[i]), int(shard.lengths[i]), crc)
+                        row = (bool(shard.known[i]), int(shard.doc_ids[i]), int(base) + int(shard.starts[i]), int(shard.lengths[i]), crc)
                         rows.append((*row, b"".join(kept)) if with_ids else row)
                         held += 1 + 4 * with_ids * int(shard.lengths[i])
                         if held >= 4_000_000 or len(rows) >= 20_000:
-                            yield _frame(rows, names)
+                            yield pd.DataFrame(rows, columns=names)
                             rows, held = [], 0
                     if rows:
-                        yield _frame(rows, names)
-
-    listed = spark.createDataFrame(files, "path string, base long").repartition(len(files))
-    return listed.mapInPandas(read, schema)
-
+                        yield pd.DataFrame(rows, columns=names)
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
-    return out
+    listed = spark.createDataFrame(runs, "path string, base long, low long, high long").repartition(len(runs))
+    found = listed.mapInPandas(read, f"known boolean, {schema}")
+    return found.withColumn("doc_id", known_id()).drop("known")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, out: str | None = None) -> DataFrame:

@@ -16,16 +16,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import prepare
+from parchment.llm.common import prepare, sampled
 
-#: Labelled documents that a model learns from, at most.
-TRAIN_ROWS = 6000
+#: Labelled documents that a model learns from, and the bytes of their texts; the longest text among them (longer ones
+#: are scored like all others, but teach nothing).
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_LONGEST = 6000, 32 << 20, 1 << 20
 FOLDS, TREES, LEAVES_DEPTH, BINS, RATE = 5, 60, 3, 32, 0.15
 SHORTEST, LONGEST, RARE = 3, 8, 4
 _word = re.compile(r"[^\W_]+")
 #: Second persons of the corpus's languages.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine sie ihr euch tu te toi ton ta vous votre vos tú ti usted ustedes vosotros".split())
 _masked = re.compile(r"[^\W\d_][@$!*#0-9.\-][^\W\d_]")
+_shout = re.compile("[A-Z]{3,}")
 _leet = str.maketrans("013457@$!", "oleastasi")
 NAMES = ("strong_rate", "weak_rate", "strong", "weak", "weight_rate", "weight_max", "weight_top", "near_you", "kinds", "you_rate", "capitals", "shouted", "marks", "exclaims", "masked", "repeats", "digits", "distinct", "length")
 
@@ -105,7 +107,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         near = sum(bool(np.abs(at - i).min() <= 5) for i in strong)
     top = sorted((weights[i] for i in hits), reverse=True)
     upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    shouted = sum(w.isupper() and len(w) > 2 for w in text.split()) if upper > 0.2 * size else 0
+    shouted = len(_shout.findall(text)) if upper else 0
     marks = sum(map(text.count, "!?*#$%&"))
     repeats = sum(a == b for a, b in zip(words, words[1:]))
     return [len(strong) / n, len(hits) / n, len(strong), len(hits), sum(top) / n, top[0] if top else 0.0, sum(top[:5]), near, len({words[i] for i in strong}), len(you) / n, upper / size, shouted / n, marks / size, text.count("!") / size, len(_masked.findall(text)) / n, repeats / n, sum(map(text.count, "0123456789")) / size, len(set(words)) / n, np.log1p(n)]
@@ -236,23 +238,23 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def train_toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on about `rows` labelled documents outside the held-out part: those of the least hashes of doc_id.
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> ToxicityModel:
+    """Fit on a sample of the labelled documents outside the held-out part: about `rows` labels by hash of doc_id, and
+    of their texts, by hash of doc_id and text, about `size` bytes.
 
     Rows with a null doc_id or toxic teach nothing; of repeated labels the greatest counts. Without labels, or with
     one kind only, the score is a constant.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    total = known.count()
-    most = (1 << 20) * min(1.0, rows / max(1, total))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < most).limit(2 * rows)
-    # at most 2 * rows small rows: a proven bound for the broadcast
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    told = told.limit(3 * rows).toPandas().sort_values(["doc_id", "text"], na_position="first")
-    return ToxicityModel([None if pd.isna(t) else t for t in told["text"]], told["toxic"].astype(int).tolist())
+    most = (1 << 30) * min(1.0, rows / max(1, known.count()))
+    # about `rows` small rows whatever the number of labels: a bound for the broadcast
+    chosen = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < most))
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_LONGEST).join(chosen, "doc_id")
+    total = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sample = sampled(told, F.lit(min(1.0, size / max(1, total)))).select("doc_id", "fp", "toxic", "text").toPandas().sort_values(["doc_id", "fp"])
+    return ToxicityModel(sample["text"].tolist(), sample["toxic"].astype(int).tolist())
 
 
 def toxicity_of(text: Column, model: ToxicityModel) -> Column:

@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import written
+from parchment.llm.common import spent, written
 
 #: The rules of the contract, (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 1.0
+#: Damping of the walks; the change of all scores below which they are taken as they are, and the rounds between two
+#: looks at it; distrust against trust from which a host is blocked.
+DAMPING, TOLERANCE, ROUNDS, THRESHOLD = 0.85, 1e-6, 4, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links that name a host: absolute or without a scheme. Others stay on their page's host and carry nothing.
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#>\s\\]+)"""
@@ -43,45 +45,53 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return named, told
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: (node, score) from seeds (node, share) over edges (src, dst, w).
 
-    What a node without an edge holds returns to the seeds. A round is a join and a partial sum by node; every fifth
-    is written to the shared folder.
+    What a node without an edge holds returns to the seeds. A round is a join and a partial sum by node. Every ROUNDS
+    rounds the scores are written to the shared folder and the former ones removed, until all scores together change by
+    less than tolerance; damping bounds the rounds, since it halves the change in about four.
     """
     out = edges.groupBy("src").agg(F.sum("w").alias("total"))
     flow = written(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "flow")
     start = written(seeds, "seeds")
-    rank = start.select("node", F.col("share").alias("score"))
-    for k in range(1, rounds + 1):
-        moved = flow.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg((damping * F.sum(F.col("p") * F.col("score"))).alias("got"))
-        sent = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("sent"))
-        back = start.join(F.broadcast(sent)).select(F.col("node").alias("dst"), (F.col("share") * (1 - F.col("sent"))).alias("got"))
-        rank = moved.union(back).groupBy("dst").agg(F.sum("got").alias("score")).withColumnRenamed("dst", "node")
-        if k % 5 == 0 or k == rounds:
-            rank = written(rank, "rank")
-    return rank
-
-
-def host_verdicts(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+    held, before = None, start.select("node", F.col("share").alias("score"))
+    while True:
+        rank = before
+        for _ in range(ROUNDS):
+            moved = flow.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg((damping * F.sum(F.col("p") * F.col("score"))).alias("got"))
+            sent = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("sent"))
+            back = start.join(F.broadcast(sent)).select(F.col("node").alias("dst"), (F.col("share") * (1 - F.col("sent"))).alias("got"))
+            rank = moved.union(back).groupBy("dst").agg(F.sum("got").alias("score")).withColumnRenamed("dst", "node")
+        both = rank.join(before.withColumnRenamed("score", "was"), "node", "full_outer")
+        both = written(both.select("node", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("was", F.lit(0.0)).alias("was")), "rank")
+        change = both.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
+        if held is not None:
+            spent(held)
+        held, before = both, both.select("node", "score")
+        if change <= tolerance:
+            spent(flow, start)
+            return before
+
+
+def host_verdicts(pages: DataFrame, rules: tuple = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(host, trust, distrust, blocked) for every host that trust or distrust reaches; pages: host, told, html."""
     seen = pages.where("host <> ''").groupBy("host").agg(F.sum(F.when(F.col("told") == "allow", 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("told") == "block", 1).otherwise(0)).alias("bad"))
     seen = written(seen.where("good + bad > 0"), "seeds")
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
     links = links.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> dst")
     edges = written(links.groupBy("src", "dst").agg(F.count("*").alias("w")), "edges")
-    bare = edges.isEmpty()
     sides = []
     for name, graph in (("good", edges), ("bad", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))):
         total = F.broadcast(seen.agg(F.sum(name).alias("total")))
         seeds = seen.where(f"{name} > 0").join(total).select(F.col("host").alias("node"), (F.col(name) / F.col("total")).alias("share"))
-        sides.append(seeds.withColumnRenamed("share", "score") if bare else propagate(graph, seeds, rounds))
+        sides.append(propagate(graph, seeds))
     trust, distrust = (s.select(F.col("node").alias("host"), F.col("score").alias(n)) for s, n in zip(sides, ("trust", "distrust")))
     both = trust.join(distrust, "host", "full_outer").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     return both.withColumn("blocked", F.col("distrust") > threshold * F.col("trust"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html).
 
     Null urls and urls without `://` have an empty host and path, fit no rule and are allowed: the method knows
@@ -92,7 +102,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, thr
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     rule, told = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), told.alias("told"), "html")
-    blocked = host_verdicts(rows, rules, rounds, threshold).where("blocked").select("host", "blocked")
+    blocked = host_verdicts(rows, rules, threshold).where("blocked").select("host", "blocked")
     open_rows = rows.select("page_id", "host", "path", "rule", "told").join(blocked, "host", "left")
     verdict = F.coalesce("told", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
     return open_rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
