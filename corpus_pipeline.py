@@ -1,5 +1,5 @@
 """A pipeline over documents: toxic ones go, one of each near-duplicate group stays, benchmark passages go, secrets are
-masked, and what is left is packed. Each stage takes (spark, docs, sf_dir), and its result is written as Parquet and
+masked, and what is left is packed, ids and all. Each stage takes (spark, docs, sf_dir), and its result is written as Parquet and
 reread as the next one's docs. Null texts and doc_ids, repeated rows and empty tables pass through as each operator's
 docstring says; further columns of docs are kept by all stages but the last."""
 
@@ -29,7 +29,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
