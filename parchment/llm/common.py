@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -29,6 +30,17 @@ def prepare(spark: SparkSession) -> None:
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
+def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """For entry points, whose session it is: batches to Python of `size` bytes at most (a longer row alone).
+
+    Operators leave the setting as it is (64 MB unless set), so a caller with larger executors may take larger batches.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.match(r"-?\d+", spark.conf.get(key, "-1"))[0])
+    if not 0 < now <= size:
+        spark.conf.set(key, f"{size}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,30 +1,30 @@
 """Benchmark decontamination with DataFrame functions only: a broadcast hash set of test windows, scan, verify, remove.
 
-A window is 13 consecutive words of an item (a shorter item is one window). The windows' hashes make a hash set of
-bounded size (common.passing), which travels to every executor. Each document is scanned where it lies: every window of
-its words is hashed and looked up, and only those found carry their words on, to an exact join with the test windows.
-Hits are folded to covered words by document. Whole texts move only where a text is to be cut or to go.
+A window is 13 consecutive words of an item (a shorter item is one window). The windows' hashes, and those of the three
+words anywhere in them, make two hash sets of bounded size (common.passing), which travel to every executor. Each
+document is scanned where it lies: as any window of 13 words holds one of every eleventh three words, only those are
+looked up; around those found every window is, and what is found again carries its words on, to an exact join with the
+test windows. Hits are folded to covered words by document. Whole texts move only where a text is to be cut or to go.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.common import passing, spent, written
 
-WINDOW = 13
-#: The words of the contract, in lower-cased and in raw text.
-WORD, RAW_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WINDOW, GRAM = 13, 3
+#: What stands between the words of the contract, in lower-cased text, and a word in raw text.
+BETWEEN, RAW_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of test windows with their items up to which they are broadcast to the hits; beyond, the join is merged.
 BROADCAST_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text. Splitting takes an eighth of the time that matching words does."""
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), BETWEEN), "")
 
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -42,37 +42,54 @@ def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(doc_id, text, F.octet_length(text)), F.xxhash64(F.lit(7), text, doc_id)
 
 
-def _windows_at(size: int, most: int) -> Column:
-    """An array of (start, w0, w1, ...), the windows of `size` words of `words`; the names up to w<most - 1> beyond are null."""
-    words = F.col("words")
-    n = F.size(words) - size + 1
-    parts = [F.slice(words, k + 1, n) if k < size else F.array_repeat(F.lit(None).cast("string"), n) for k in range(most)]
-    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("start"), *[p.alias(f"w{k}") for k, p in enumerate(parts)])
-    kind = f"array<struct<start:int,{','.join(f'w{k}:string' for k in range(most))}>>"
-    return F.when(n > 0, zipped.cast(kind)).otherwise(F.array().cast(kind))
+_AROUND = "array<struct<size:int,start:int,h:bigint,around:array<string>>>"
+
+
+def _looked_up(size: int) -> Column:
+    """(size, start, h, around) of the few words of `words` of which every window of `size` words holds one: their hash,
+    and the words from `start` on of all windows that hold them."""
+    words, gram = F.col("words"), min(GRAM, size)
+    reach = size - gram
+
+    def one(at: Column) -> Column:
+        start = F.greatest(at - reach, F.lit(0))
+        hashed = F.xxhash64(F.lit(size), *[F.get(words, at + k) for k in range(gram)])
+        return F.struct(F.lit(size).alias("size"), start.alias("start"), hashed.alias("h"), F.slice(words, start + 1, at - start + size).alias("around"))
+
+    places = F.sequence(F.lit(0), F.size(words) - gram, F.lit(reach + 1))
+    return F.when(F.size(words) >= size, F.transform(places, one)).otherwise(F.array()).cast(_AROUND)
+
+
+def _grams(windows: DataFrame) -> DataFrame:
+    """The hashes that _looked_up may find in a window."""
+    words, gram = F.split("w", " "), F.least(F.lit(GRAM), F.col("size"))
+    parts = windows.select("size", gram.alias("gram"), words.alias("ws"), F.explode(F.sequence(F.lit(0), F.col("size") - gram)).alias("at"))
+    # words beyond a shorter gram are null, which a hash passes over
+    return parts.select(F.xxhash64("size", *[F.when(F.col("gram") > k, F.get("ws", F.col("at") + k)) for k in range(GRAM)]).alias("h"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(rows, hits): rows has doc_id, k1, k2 and n_words for each row of docs; hits has for each (k1, k2) with a hit its
     spans (start, size; in words from 0) and items. k1 and k2 are row_keys, so repeated rows share their hits."""
+    spark = docs.sparkSession
     windows = written(windows_of(benchmark, window), "windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # `window` rows at most
-    most = max(sizes, default=1)
     text = F.col("text").cast("string")
     k1, k2 = row_keys(F.col("doc_id"), text)
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.coalesce(words_of(text), F.array().cast("array<string>")).alias("words"))
-    # the first element, a null, stands for the document itself: one pass gives its row and its windows
-    first = F.array(F.lit(None).cast(f"struct<start:int,{','.join(f'w{k}:string' for k in range(most))}>"))
-    every = F.concat(first, *[_windows_at(size, most) for size in sizes])
-    each = [F.col("x")[f"w{k}"] for k in range(most)]
+    # the first element, a null, stands for the document itself: one pass gives its row and its candidates. Its hash,
+    # null, is put into the sets
+    none = spark.range(1).select(F.lit(None).cast("long").alias("h"))
+    every = F.concat(F.array(F.lit(None)).cast(_AROUND), *[_looked_up(size) for size in sizes])
     rows = split.select("doc_id", "k1", "k2", F.size("words").cast("long").alias("n_words"), F.explode(every).alias("x"))
-    rows = rows.withColumn("h", F.when(F.col("x").isNotNull(), F.xxhash64(*each)))
-    # null, the hash of the documents' own rows, is put into the set, so they pass
-    known = windows.select(F.xxhash64(*[F.get(F.split("w", " "), k) for k in range(most)]).alias("h")).union(docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("h")))
-    found = passing(rows, known, ["h"])
-    size = reduce(lambda a, b: a + b, [F.when(w.isNotNull(), 1).otherwise(0) for w in each])
-    found = found.select("doc_id", "k1", "k2", "n_words", F.col("x.start").alias("start"), size.alias("size"), F.when(F.col("x").isNotNull(), F.concat_ws(" ", *each)).alias("w"))
-    scanned = written(found, "scanned")
+    rows = passing(rows.withColumn("h", F.col("x.h")), _grams(windows).union(none), ["h"])
+    first, size = F.col("x.start"), F.col("x.size")
+    each = F.transform(F.sequence(F.lit(0), F.size("x.around") - size), lambda k: F.struct((first + k).alias("start"), F.array_join(F.slice(F.col("x.around"), k + 1, size), " ").alias("w")))
+    each = F.when(F.col("x").isNull(), F.array(F.lit(None))).when(F.size("x.around") >= size, each).otherwise(F.array()).cast("array<struct<start:int,w:string>>")
+    rows = rows.select("doc_id", "k1", "k2", "n_words", size.alias("size"), F.explode(each).alias("x"))
+    rows = rows.withColumn("h", F.when(F.col("x").isNotNull(), F.xxhash64("size", "x.w")))
+    found = passing(rows, windows.select(F.xxhash64("size", "w").alias("h")).union(none), ["h"])
+    scanned = written(found.select("doc_id", "k1", "k2", "n_words", "size", "x.start", "x.w"), "scanned")
     weight = windows.agg(F.sum(F.octet_length("w") + 48 + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16))).first()[0] or 0
     side = F.broadcast(windows) if weight <= BROADCAST_BYTES else windows.hint("merge")
     hits = scanned.where("w is not null").join(side, ["w", "size"]).groupBy("k1", "k2")

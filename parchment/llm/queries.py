@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.llm import decontam, jaccard, langid, media, packing, secrets, sharding, tokens, toxicity, urls
-from parchment.llm.common import prepare, table
+from parchment.llm.common import bounded_batches, prepare, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
+            bounded_batches(spark)
             return f(spark, sf_dir)
 
         return run
