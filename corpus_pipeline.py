@@ -8,15 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parchment.llm import decontam, jaccard, packing, secrets, toxicity
-from parchment.llm.common import prepare, table, written
+from parchment.llm.common import bounded_batches, prepare, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     model = toxicity.train_toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return jaccard.drop_near_duplicates(docs)
 
 
@@ -25,10 +27,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return secrets.redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.pack(docs, with_ids=True)
 
 
