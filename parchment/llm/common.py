@@ -36,8 +36,8 @@ def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     Operators leave the setting as it is (64 MB unless set), so a caller with larger executors may take larger batches.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(re.match(r"-?\d+", spark.conf.get(key, "-1"))[0])
-    if not 0 < now <= size:
+    now = int(re.match(r"\d+", spark.conf.get(key, f"{64 << 20}b"))[0])
+    if now > size:
         spark.conf.set(key, f"{size}b")
 
 
