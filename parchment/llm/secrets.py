@@ -30,7 +30,7 @@ PART = re.compile(r"[A-Za-z0-9+_-]+")
 #: Nats by which a candidate must look more like a credential: the odds of one among a corpus's strings are put at one
 #: in 1.2 million; nats a character, so that a long string doesn't gather them from small differences; labelled strings
 #: a format; distinct strings remembered; the share of characters that follow no grammar.
-EVIDENCE, MARGIN, LABELLED, REMEMBERED, CHANCE = 14.0, 0.25, 200, 200_000, 0.02
+EVIDENCE, MARGIN, LABELLED, REMEMBERED, CHANCE = 14.0, 0.25, 200, 100_000, 0.02
 
 _CLASS = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G")}
 _WIDTH = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
@@ -77,7 +77,15 @@ class Automaton:
                 red.append(state)
             inside = set(red)
             blue = sorted({q for r in red for q in self.next[r].values()} - inside)
-        self.states = red
+        self._trim(red)
+
+    def _trim(self, kept: list[int]) -> None:
+        """Only the states that are left, from 0 on; a worker gets no prefix tree."""
+        number = {q: k for k, q in enumerate(kept)}
+        self.next = [{s: number[q] for s, q in self.next[p].items()} for p in kept]
+        self.seen = [dict(self.seen[p]) for p in kept]
+        self.ends, self.visits = [self.ends[p] for p in kept], [self.visits[p] for p in kept]
+        self.states = list(range(len(kept)))
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return n > 0 and m > 0 and abs(a / n - b / m) > self.bound * (n**-0.5 + m**-0.5)
@@ -204,6 +212,8 @@ class Scanner:
         self.ordinary = Automaton(ordinary or labelled_ordinary())
         self.evidence, self.margin = evidence, margin
         self._forget()
+        #: So long may a word of such letters be before any word of its kind can gather the evidence.
+        self.dull = {kind: self._bound(*of) for kind, of in (("lower", ("ag", "ag")), ("title", ("AG", "ag")), ("upper", ("AG", "AG")), ("digits", ("0", "0")))}
 
     def _forget(self) -> None:
         self.plain: set[str] = set()
@@ -216,6 +226,27 @@ class Scanner:
         self.__dict__ |= state
         self._forget()
 
+    def _bound(self, first: str, rest: str, most: int = 60) -> int:
+        """The greatest length, up to `most`, at which the likeliest credential of these classes lacks the evidence."""
+        best = {(0, 0): 0.0}
+        for length in range(1, most + 1):
+            new: dict[tuple[int, int], float] = {}
+            for at, total in best.items():
+                for c in first if length == 1 else rest:
+                    (a, p), (b, q) = self.credential.step(at[0], c), self.ordinary.step(at[1], c)
+                    new[p, q] = max(new.get((p, q), -math.inf), total + a - b)
+            best = new
+            if max(v + self.credential.end(p) - self.ordinary.end(q) for (p, q), v in best.items()) >= self.evidence:
+                return length - 1
+        return most
+
+    def _plainly(self, word: str) -> bool:
+        """Whether no word of this kind and length can be told, so that this one need not be scored."""
+        if not word.isalpha():
+            return word.isdigit() and len(word) <= self.dull["digits"]
+        kind = "lower" if word.islower() else "upper" if word.isupper() else "title" if word[1:].islower() else None
+        return kind is not None and len(word) <= self.dull[kind]
+
     def likelihood(self, text: str) -> float:
         """Nats in favour of a credential. Both automata step at once; what a step weighs is remembered by states and class."""
         at, total = (0, 0), 0.0
@@ -238,7 +269,7 @@ class Scanner:
     def _secret(self, run: str) -> list[tuple[int, int]]:
         """The spans in a run: the whole, less the dots and dashes at its ends, or else those of its parts that are told."""
         bare = run.strip(".-_/")
-        if not bare:
+        if not bare or self._plainly(bare):
             return []
         start = run.index(bare)
         if self.told(bare):
@@ -252,14 +283,16 @@ class Scanner:
             found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         if "AKIA" in text:
             found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-        return found + [(m.start(), m.end(), "hex") for m in LONG_HEX.finditer(text)]
+        return found
 
     def scan(self, text: str | None) -> list[tuple[int, int, str]]:
         if not text:
             return []
-        found = self.base(text)
+        found, runs = self.base(text), set(CANDIDATE.findall(text))
+        if any(len(run) >= 24 and LONG_HEX.search(run) for run in runs):
+            found += [(m.start(), m.end(), "hex") for m in LONG_HEX.finditer(text)]
         # runs known to hold nothing are passed over as a set; the rest are few
-        runs = set(CANDIDATE.findall(text)) - self.plain
+        runs -= self.plain
         odd = {}
         for run in runs:
             if spans := self._secret(run):

@@ -203,7 +203,8 @@ class ToxicityModel:
         if len(set(toxic)) < 2 or len(y) < 2 * FOLDS:
             self.constant = float(y.mean()) if len(y) else 0.0
             return
-        bags = [set(words_of(t or "")) for t in texts]
+        shared: dict[str, str] = {}  # a word that many documents hold is held once
+        bags = [{shared.setdefault(w, w) for w in words_of(t or "")} for t in texts]
         # copies share a fold, else a copy would leak its label
         fold = np.array([hash_fold(t) for t in texts])
         x = np.zeros((len(y), len(NAMES)))

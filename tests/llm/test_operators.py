@@ -68,6 +68,16 @@ def test_evidence_against_a_plain_walk():
         assert scanner.likelihood(text) == pytest.approx(plain_score(scanner.credential, text) - plain_score(scanner.ordinary, text))
 
 
+def test_words_passed_over_unscored_could_not_be_told():
+    scanner, rng = secrets.Scanner(), np.random.default_rng(2)
+    assert scanner.dull["lower"] >= 20 and scanner.dull["digits"] >= 20
+    for low, high in (("a", "z"), ("A", "Z"), ("0", "9")):
+        for _ in range(2000):
+            word = "".join(chr(c) for c in rng.integers(ord(low), ord(high) + 1, rng.integers(1, 40)))
+            for w in (word, word.capitalize()):
+                assert not (scanner._plainly(w) and scanner.told(w))
+
+
 def planted(count, seed):
     """Credentials of formats that the labelled ones lack, and ordinary words that look odd."""
     import random
