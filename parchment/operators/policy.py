@@ -1,7 +1,7 @@
 """What findings mean: actions, caps, scores, risk and status, as relational plans over a findings table.
 
-A findings table has doc_id, ordinal, category, detail, action, location and optionally weight. Every operator is
-per document or per kind, so partial aggregation bounds what a hot document sends.
+A findings table has doc_id, ordinal, category, detail, action, location and optionally weight. Sums go by partial
+aggregation; where rows of a document are ranked, they are dealt first, so a hot document is no hot task.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parchment.plans.spec import BANDS, finding_spec
+from parchment.plans.spec import BANDS, DESCRIPTIONS, finding_spec
 
-CAP = 200
-HOSTS = 20
+#: Findings of a kind told one by one, hosts of kept links, parts that the findings of a kind are dealt into.
+CAP, HOSTS, DEALT = 200, 20, 16
 
 
 def strictness(action: Column) -> Column:
@@ -58,13 +58,19 @@ def with_weights(findings: DataFrame, weights: DataFrame | None = None) -> DataF
 
 
 def capped(findings: DataFrame, cap: int = CAP) -> DataFrame:
-    """The first `cap` findings of a kind in a document; those beyond are one more row with their count and strictest action."""
-    rank = F.row_number().over(Window.partitionBy("doc_id", "category", "detail").orderBy("ordinal"))
-    ranked = findings.withColumn("rank", rank)
-    kept = ranked.where(F.col("rank") <= cap).select("doc_id", "category", "detail", "ordinal", "action", "location", F.lit(None).cast("long").alias("count"))
-    more = ranked.where(F.col("rank") > cap).groupBy("doc_id", "category", "detail")
+    """The first `cap` findings of a kind in a document; those beyond are one more row with their count and strictest action.
+
+    Ranked in two steps: each of DEALT parts of a kind keeps its first `cap`, and only those meet in one task.
+    """
+    kind = ["doc_id", "category", "detail"]
+    dealt = findings.withColumn("part", F.pmod(F.xxhash64("ordinal", "location"), F.lit(DEALT)))
+    part = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*kind, "part").orderBy("ordinal")))
+    first = part.where(F.col("rank") <= cap).drop("part").withColumn("rank", F.row_number().over(Window.partitionBy(*kind).orderBy("ordinal")))
+    beyond = lambda rows: rows.where(F.col("rank") > cap).select(*kind, "ordinal", "action")
+    more = beyond(part).union(beyond(first)).groupBy(*kind)
     more = more.agg(F.min("ordinal").alias("ordinal"), F.max_by("action", strictness(F.col("action"))).alias("action"), F.count("*").alias("count"))
-    return kept.unionByName(more.withColumn("location", F.lit("additional occurrences")))
+    kept = first.where(F.col("rank") <= cap).drop("rank", "count").withColumn("count", F.lit(None).cast("long"))
+    return kept.unionByName(more.withColumn("location", F.lit("additional occurrences")), allowMissingColumns=True)
 
 
 def counted(items: DataFrame) -> DataFrame:
@@ -73,10 +79,37 @@ def counted(items: DataFrame) -> DataFrame:
 
 
 def safe_hosts(links: DataFrame, most: int = HOSTS) -> DataFrame:
-    """doc_id, count and the first distinct hosts in order, comma-joined, of links (doc_id, ordinal, host)."""
+    """doc_id, count and the first distinct hosts in order, comma-joined, of links (doc_id, ordinal, host).
+
+    Spark keeps the first hosts of each task before they meet, so no list grows with a document's links.
+    """
     first = links.groupBy("doc_id", "host").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("n"))
-    told = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "host"))), 1, most), lambda x: x["host"])
-    return first.groupBy("doc_id").agg(F.sum("n").alias("count"), F.array_join(told, ", ").alias("hosts"))
+    sums = first.groupBy("doc_id").agg(F.sum("n").alias("count"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal", "host"))
+    few = first.where("host is not null").withColumn("rank", rank).where(F.col("rank") <= most)
+    told = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "host"))), lambda x: x["host"])
+    return sums.join(few.groupBy("doc_id").agg(F.array_join(told, ", ").alias("hosts")), "doc_id", "left").withColumn("hosts", F.coalesce("hosts", F.lit("")))
+
+
+def described(findings: DataFrame) -> DataFrame:
+    """Adds description: what a finding's kind means, with its value, as far as it can be shown."""
+    texts = findings.sparkSession.createDataFrame([(c, d, t) for (c, d), t in DESCRIPTIONS.items()], "category string, detail string, __text string")
+    shown = F.regexp_replace(F.coalesce(F.col("value"), F.lit("")), r"[\p{Cc}\p{Cf}]", "?")
+    cut = F.when(F.length(shown) > 60, F.concat(F.substring(shown, 1, 57), F.lit("..."))).otherwise(shown)
+    filled = F.replace(F.col("__text"), F.lit("{value}"), cut)
+    counted = F.when(F.col("count").isNotNull(), F.concat(filled, F.lit(" ("), F.col("count"), F.lit(" in all)"))).otherwise(filled)
+    return findings.join(F.broadcast(texts), ["category", "detail"], "left").withColumn("description", F.coalesce(counted, F.lit(""))).drop("__text")
+
+
+def reported(findings: DataFrame) -> DataFrame:
+    """Findings as a report holds them: kept links as one with their count and hosts, other kinds capped, all described."""
+    safe = (F.col("category") == "LINK") & (F.col("detail") == "SAFE")
+    links = findings.where(safe)
+    hosts = links.groupBy("doc_id").agg(F.min("ordinal").alias("ordinal"), F.first("action").alias("action")).join(safe_hosts(links), "doc_id")
+    hosts = hosts.select("doc_id", "ordinal", F.lit("LINK").alias("category"), F.lit("SAFE").alias("detail"), "action", F.lit("").alias("location"), F.lit("").alias("slot"), "count", F.col("hosts").alias("value"))
+    columns = ["doc_id", "ordinal", "category", "detail", "action", "location", "slot", "value", "plugin", "weight", "attachment", "count"]
+    rest = capped(findings.where(~safe).drop("body", "forced", "md5", "host"))
+    return described(rest.unionByName(hosts, allowMissingColumns=True).select(*columns))
 
 
 def risk_of(score: Column) -> Column:
@@ -146,6 +179,7 @@ def inspections(docs: DataFrame, findings: DataFrame, weights: DataFrame | None
 
 
 def exit_code(status: Column) -> Column:
+    """0 for clean, 1 for what was or would be removed, 2 for rejected; 3, a wrong use or a failed read, has no row."""
     return F.when(status == "clean", 0).when(status.isin("strippable", "defused"), 1).otherwise(2)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import stringprep
 import unicodedata
 
 # Fixed value: the padding of short passwords.
@@ -141,44 +142,83 @@ def hash_r6(password: bytes, salt: bytes, extra: bytes = b"") -> bytes:
             return k[:32]
 
 
+METHODS = {"V2": "RC4", "AESV2": "AES128", "AESV3": "AES256", "None": "Identity"}
+
+
 class Security:
-    """status is ok, password, certificate, handler or filter; used is empty, user or owner where it is ok."""
+    """status is ok, password, certificate, handler or filter; used is empty, user, owner, or none where only attached
+    files are encrypted and no password opens them. key is None where it is not known."""
 
     def __init__(self, d: dict, first_id: bytes, passwords: list[str]):
-        self.status, self.used, self.key, self.method, self.bits = "ok", "", b"", "RC4", 40
-        self.metadata = d.get("EncryptMetadata") is not False
+        self.status, self.used, self.key, self.method, self.bits = "ok", "", None, "RC4", 40
+        self.strings = self.files = "RC4"
         if d.get("Filter") != "Standard":
-            self.status = "certificate" if "Recipients" in d or d.get("SubFilter") in ("adbe.pkcs7.s4", "adbe.pkcs7.s5") or d.get("Filter") == "Adobe.PubSec" else "handler"
+            self.status = "certificate" if d.get("Filter") == "Adobe.PubSec" else "handler"
             return
         version, revision = d.get("V", 0), d.get("R", 0)
-        if version not in (1, 2, 3, 4, 5) or revision not in (2, 3, 4, 5, 6):
-            self.status = "handler"
-            return
-        self.bits = 40 if version == 1 else d.get("Length", 40)
+        self.version = version
+        self.metadata = version < 4 or d.get("EncryptMetadata") is not False
+        self.named: dict[str, str | None] = {"Identity": "Identity"}
+        held = d.get("CF") if isinstance(d.get("CF"), dict) else {}
+        for name, one in held.items():
+            if isinstance(one, dict):
+                self.named[name] = METHODS.get(one.get("CFM", "None"))
         if version >= 4:
-            name = d.get("StmF", "Identity")
-            chosen = (d.get("CF") or {}).get(name) if name != "Identity" else {"CFM": "None"}
-            methods = {"V2": "RC4", "AESV2": "AES128", "AESV3": "AES256", "None": "Identity"}
-            if not isinstance(chosen, dict) or chosen.get("CFM", "None") not in methods:
+            self.method = self.named.get(d.get("StmF", "Identity"))
+            self.strings = self.named.get(d.get("StrF", "Identity"))
+            self.files = self.named.get(d["EFF"]) if isinstance(d.get("EFF"), str) else self.method
+            if None in (self.method, self.strings, self.files):
                 self.status = "filter"
                 return
-            self.method = methods[chosen.get("CFM", "None")]
-            self.bits = {"AES128": 128, "AES256": 256}.get(self.method, self.bits if self.bits != 40 else 128)
-        for password in [*passwords, ""] if "" not in passwords else passwords:
+        self.bits = 256 if revision >= 5 else 40 if version == 1 else 128 if version >= 4 else d.get("Length", 40)
+        if revision not in (2, 3, 4, 5, 6) or self.bits % 8 or not 40 <= self.bits <= 256:
+            self.status = "filter"
+            return
+        for password in dict.fromkeys([*passwords, ""]):
             for used, key in self._keys(d, first_id, password, revision):
                 self.key, self.used = key, "empty" if used == "user" and password == "" else used
                 return
+        filed = held.get(d.get("EFF", ""))
+        if version >= 4 and not any(passwords) and self.method == self.strings == "Identity" and isinstance(filed, dict) and filed.get("AuthEvent") == "EFOpen":
+            self.used = "none"
+            return
         self.status = "password"
 
+    def method_for(self, stream: dict) -> str:
+        """How a stream is encrypted: its own /Crypt filter counts from version 4 on; unknown names encrypt nothing."""
+        kind = stream.get("Type")
+        if kind == "XRef" or (kind == "Metadata" and not self.metadata):
+            return "Identity"
+        names = stream.get("Filter")
+        names = names if isinstance(names, list) else [names]
+        if self.version >= 4 and "Crypt" in names:
+            parms = stream.get("DecodeParms")
+            if isinstance(parms, list):
+                parms = parms[names.index("Crypt")] if names.index("Crypt") < len(parms) else None
+            return self.named.get(parms.get("Name", "Identity") if isinstance(parms, dict) else "Identity") or "Identity"
+        return self.files if kind == "EmbeddedFile" else self.method
+
+    def plain_size(self, stream, ref, method: str) -> int | None:
+        """The number of bytes a stream decrypts to, where that is known without decrypting all of it."""
+        if method == "RC4" or stream.size is None or stream.size < 32 or stream.size % 16:
+            return stream.size if method == "RC4" else None
+        raw = stream.raw
+        last = aes_cbc_decrypt(self._object_key(*ref, method), raw[-32:-16], raw[-16:])
+        n = last[-1]
+        return len(raw) - 16 - (n if 1 <= n <= 16 and last.endswith(bytes([n]) * n) else 0)
+
     def _keys(self, d: dict, first_id: bytes, password: str, revision: int):
         o, u = d.get("O", b""), d.get("U", b"")
         if revision >= 5:
-            raw = unicodedata.normalize("NFKC", password).encode()[:127]
             digest = hash_r6 if revision == 6 else lambda p, s, x=b"": hashlib.sha256(p + s + x).digest()
-            if digest(raw, u[32:40]) == u[:32]:
-                yield "user", aes_cbc_decrypt(digest(raw, u[40:48]), bytes(16), d.get("UE", b"")[:32])
-            if digest(raw, o[32:40], u[:48]) == o[:32]:
-                yield "owner", aes_cbc_decrypt(digest(raw, o[40:48], u[:48]), bytes(16), d.get("OE", b"")[:32])
+            # a password as the standard prepares it, as it is normalised without that, and as it is typed
+            forms = (prepared(password), unicodedata.normalize("NFKC", password), password) if revision == 6 else (password,)
+            for form in dict.fromkeys(f for f in forms if f is not None):
+                raw = form.encode("utf-8", "surrogatepass")[:127]
+                if digest(raw, u[32:40]) == u[:32]:
+                    yield "user", aes_cbc_decrypt(digest(raw, u[40:48]), bytes(16), d.get("UE", b"")[:32])
+                if digest(raw, o[32:40], u[:48]) == o[:32]:
+                    yield "owner", aes_cbc_decrypt(digest(raw, o[40:48], u[:48]), bytes(16), d.get("OE", b"")[:32])
             return
         size = 5 if revision == 2 else self.bits // 8
         raw = password.encode("latin-1", "replace")
@@ -208,11 +248,28 @@ class Security:
         if key := user_key(guess):
             yield "owner", key
 
-    def decrypt(self, data: bytes, num: int, gen: int) -> bytes:
-        if self.method == "Identity":
+    def _object_key(self, num: int, gen: int, method: str) -> bytes:
+        if method == "AES256":
+            return self.key
+        salt = (num & 0xFFFFFF).to_bytes(3, "little") + (gen & 0xFFFF).to_bytes(2, "little") + (b"sAlT" if method == "AES128" else b"")
+        return hashlib.md5(self.key + salt).digest()[: min(16, len(self.key) + 5)]
+
+    def decrypt(self, data: bytes, num: int, gen: int, method: str | None = None) -> bytes:
+        """A string, or with its method a stream, of object num; without a key it stays as it is."""
+        method = method or self.strings
+        if method == "Identity" or self.key is None:
             return data
-        if self.method == "AES256":
-            return unwrapped(self.key, data)
-        salt = num.to_bytes(3, "little") + gen.to_bytes(2, "little") + (b"sAlT" if self.method == "AES128" else b"")
-        key = hashlib.md5(self.key + salt).digest()[: min(16, len(self.key) + 5)]
-        return unwrapped(key, data) if self.method == "AES128" else rc4(key, data)
+        key = self._object_key(num, gen, method)
+        return rc4(key, data) if method == "RC4" else unwrapped(key, data)
+
+
+def prepared(password: str) -> str | None:
+    """The password as SASLprep (RFC 4013) leaves it, or None where it refuses it."""
+    text = "".join(" " if stringprep.in_table_c12(c) else c for c in password if not stringprep.in_table_b1(c))
+    text = unicodedata.ucd_3_2_0.normalize("NFKC", text)
+    refused = (stringprep.in_table_c12, stringprep.in_table_c21_c22, stringprep.in_table_c3, stringprep.in_table_c4, stringprep.in_table_c5, stringprep.in_table_c6, stringprep.in_table_c7, stringprep.in_table_c8, stringprep.in_table_c9)
+    if any(f(c) for c in text for f in refused):
+        return None
+    if any(map(stringprep.in_table_d1, text)) and (any(map(stringprep.in_table_d2, text)) or not (stringprep.in_table_d1(text[0]) and stringprep.in_table_d1(text[-1]))):
+        return None
+    return text

@@ -23,7 +23,7 @@ class Undecodable(Exception):
 
 def chain_of(d: dict) -> list[tuple[str, dict]]:
     """(filter, parameters) in order; what is no name becomes an empty, undecodable one."""
-    names, parms = d.get("Filter", d.get("F")), d.get("DecodeParms", d.get("DP"))
+    names, parms = d.get("Filter"), d.get("DecodeParms")
     names = names if isinstance(names, list) else [] if names is None else [names]
     parms = parms if isinstance(parms, list) else [parms]
     return [(str(n) if isinstance(n, Name) else "", p if isinstance(p, dict) else {}) for n, p in zip(names, [*parms, *[None] * len(names)])]
@@ -50,6 +50,24 @@ def _flate(data: bytes, limit: int) -> bytes:
     raise Undecodable("no deflate data")
 
 
+def _brotli(data: bytes, limit: int) -> bytes:
+    """Brotli data, whole or not at all; Arrow's codec reads it piece by piece."""
+    if not data:
+        return b""
+    import pyarrow as pa
+
+    out = bytearray()
+    try:
+        with pa.input_stream(pa.BufferReader(data), compression="brotli") as stream:
+            while piece := stream.read(1 << 20):
+                out += piece
+                if len(out) > limit:
+                    raise TooLarge
+    except (OSError, pa.ArrowException) as e:
+        raise Undecodable("no brotli data") from e
+    return bytes(out)
+
+
 def _lzw(data: bytes, early: int, limit: int) -> bytes:
     table = [bytes([i]) for i in range(256)] + [b"", b""]
     out, width, bits, have, last = bytearray(), 9, 0, 0, b""
@@ -168,6 +186,11 @@ def decode(raw: bytes, d: dict, limit: int = 1 << 28) -> bytes:
     chain = chain_of(d)
     if len(chain) > CHAIN:
         raise Undecodable("too many filters")
+    names, parms = d.get("Filter"), d.get("DecodeParms")
+    if ("F" in d and d["F"] != names) or ("DP" in d and d["DP"] != parms) or (isinstance(parms, dict) if isinstance(names, list) else isinstance(parms, list) and bool(parms) and isinstance(parms[0], dict)):
+        raise Undecodable("entries that readers take in different ways")
+    if sum(name == "BrotliDecode" for name, _ in chain) > 1:
+        raise Undecodable("more than one BrotliDecode")
     for name, parms in chain:
         if name in ("FlateDecode", "Fl"):
             raw = _predicted(_flate(raw, limit), parms)
@@ -179,6 +202,10 @@ def decode(raw: bytes, d: dict, limit: int = 1 << 28) -> bytes:
             raw = _ascii_hex(raw)
         elif name in ("RunLengthDecode", "RL"):
             raw = _run_length(raw, limit)
+        elif name == "BrotliDecode":
+            if parms.get("Predictor") not in (None, 1):
+                raise Undecodable("a predictor that readers apply differently")
+            raw = _brotli(raw, limit)
         elif name != "Crypt":
             raise Undecodable(f"filter {name or 'without a name'}")
         if len(raw) > limit:

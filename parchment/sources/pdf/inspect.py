@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import time
 from typing import NamedTuple
 
-from parchment.sources.pdf.document import Pdf, Unreadable
+from parchment.sources.pdf.document import REASONS, Pdf, TimeUp, Unreadable
 from parchment.sources.pdf.filters import TooLarge
 from parchment.sources.pdf.values import SyntaxTrouble
 from parchment.sources.pdf.walk import COUNTED, Item, Walk
 
 
 class Limits(NamedTuple):
-    """None: no limit."""
+    """None: no limit. nesting: how deep a document may lie in attachments; seconds: of one document's run in the kernel."""
 
     objects: int | None = None
     decompressed: int = 1 << 28
+    file_size: int | None = None
+    nesting: int | None = None
+    seconds: float | None = None
 
 
 class Report(NamedTuple):
@@ -23,6 +27,7 @@ class Report(NamedTuple):
     incomplete: bool
     items: list[Item]
     lengths: list[int]
+    signed: bool
     output: bytes | None
 
 
@@ -32,55 +37,73 @@ def _security(pdf: Pdf) -> list[tuple[str, str]]:
         return []
     if s.status != "ok":
         return [("ENCRYPTED", {"password": "PASSWORD_REQUIRED", "certificate": "CERTIFICATE_HANDLER", "handler": "UNKNOWN_HANDLER", "filter": "UNKNOWN_CRYPT_FILTER"}[s.status])]
-    out = [("ENCRYPTED", {"empty": "EMPTY_PASSWORD", "user": "USER_PASSWORD", "owner": "OWNER_PASSWORD"}[s.used])]
-    if s.method != "Identity":
-        out.append(("ENCRYPTED", {"AES256": "AES_256", "AES128": "AES_128"}.get(s.method) or {40: "RC4_40", 128: "RC4_128"}.get(s.bits, "RC4_OTHER")))
+    out = [("ENCRYPTED", {"empty": "EMPTY_PASSWORD", "user": "USER_PASSWORD", "owner": "OWNER_PASSWORD", "none": "ATTACHMENTS_ONLY"}[s.used])]
+    method = s.strings if s.method == "Identity" else s.method
+    if method != "Identity":
+        out.append(("ENCRYPTED", {"AES256": "AES_256", "AES128": "AES_128"}.get(method) or {40: "RC4_40", 128: "RC4_128"}.get(s.bits, "RC4_OTHER")))
     return out + ([] if s.metadata else [("ENCRYPTED", "METADATA_UNENCRYPTED")])
 
 
-def inspect(data: bytes | None, passwords: list[str] | None = None, limits: Limits = Limits(), remove: frozenset[str] | None = None, strip_metadata: bool = False) -> Report:
-    """Read, walk and report; with remove, also write what is left without those slots.
+_TROUBLE = (Unreadable, SyntaxTrouble, ValueError, KeyError, IndexError, TypeError, AttributeError, MemoryError, RecursionError)
+
+
+def inspect(data: bytes | None, passwords: list[str] | None = None, limits: Limits = Limits(), remove: frozenset[str] | None = None, strip_metadata: bool = False, bodies: dict[str, bytes] | None = None) -> Report:
+    """Read, walk and report; with remove, also write what is left without those slots, and with `bodies` in theirs.
 
     Damage is a finding, never an error: only a programming mistake raises.
     """
     rows: list[Item] = []
 
-    def tell(category: str, detail: str, location: str = "", value: object = "") -> None:
-        rows.append(Item(len(rows), category, detail, location, "", str(value), "", None))
+    def tell(category: str, detail: str, location: str = "", value: object = "", forced: bool = False) -> None:
+        rows.append(Item(len(rows), category, detail, location, "", str(value), "", None, "", forced))
+
+    def stopped(version: str = "", pages: int = 0) -> Report:
+        return Report(version, pages, True, rows, [], False, None)
 
     if not data:
         tell("CORRUPTED", "TRUNCATED")
-        return Report("", 0, True, rows, [], None)
+        return stopped()
+    if limits.file_size is not None and len(data) > limits.file_size:
+        tell("LIMIT", "FILE_SIZE", value=len(data))
+        return stopped()
     pdf = None
+    deadline = None if limits.seconds is None else time.monotonic() + limits.seconds
     try:
-        pdf = Pdf(bytes(data), passwords, limits.decompressed, limits.objects)
+        pdf = Pdf(bytes(data), passwords, limits.decompressed, limits.objects, deadline)
+    except TimeUp:
+        tell("LIMIT", "TIME")
     except TooLarge as e:
         tell("LIMIT", "OBJECT_COUNT" if e.args else "DECOMPRESSED_SIZE")
-    except (Unreadable, SyntaxTrouble, ValueError, KeyError, IndexError, TypeError, RecursionError) as e:
+    except _TROUBLE as e:
         tell("CORRUPTED", "TRUNCATED" if b"%%EOF" not in data and b"%PDF-" in data[:1024] else "UNPARSEABLE", value=str(e)[:120])
     if pdf is None:
-        return Report("", 0, True, rows, [], None)
+        return stopped()
     for category, detail in _security(pdf):
         tell(category, detail)
     if pdf.security is not None and pdf.security.status != "ok":
-        return Report(pdf.version, 0, True, rows, [], None)
+        return stopped(pdf.version)
     for there, detail, value in ((not pdf.has_header, "MISSING_HEADER", ""), (pdf.leading, "LEADING_BYTES", pdf.leading), (pdf.trailing, "TRAILING_BYTES", pdf.trailing), (pdf.issues["rebuilt"], "XREF_REBUILT", "")):
         if there:
             tell("CORRUPTED", detail, value=value)
     if pdf.issues["superseded"]:
         tell("STRUCTURE", "INCREMENTAL_UPDATES", value=pdf.issues["sections"])
-    walk, incomplete = None, False
+    walk, incomplete, dead, hidden = None, False, 0, 0
     try:
         try:
-            walk = Walk(pdf, remove or frozenset(), strip_metadata)
+            walk = Walk(pdf, remove or frozenset(), strip_metadata, bodies)
         except Unreadable:  # a row met on the way leads nowhere: rebuild, and begin again
             pdf.rebuild(passwords)
             tell("CORRUPTED", "XREF_REBUILT")
-            walk = Walk(pdf, remove or frozenset(), strip_metadata)
+            walk = Walk(pdf, remove or frozenset(), strip_metadata, bodies)
+        dead = pdf.dead_definitions() if not pdf.issues["superseded"] else 0
+        hidden = pdf.dead_definitions(True) if walk.signed else 0
+    except TimeUp:
+        tell("LIMIT", "TIME")
+        incomplete = True
     except TooLarge:
         tell("LIMIT", "DECOMPRESSED_SIZE")
         incomplete = True
-    except (Unreadable, SyntaxTrouble, ValueError, KeyError, IndexError, TypeError, AttributeError, MemoryError, RecursionError) as e:
+    except _TROUBLE as e:
         tell("CORRUPTED", "UNPARSEABLE", value=str(e)[:120])
         incomplete = True
     if walk is not None:
@@ -92,15 +115,20 @@ def inspect(data: bytes | None, passwords: list[str] | None = None, limits: Limi
                     continue
             rows.append(item._replace(ordinal=len(rows)))
         rows[:] = [r._replace(value=str(counts[r.category, r.detail])) if (r.category, r.detail) in counts else r for r in rows]
-    dead = pdf.dead_definitions() if not pdf.issues["superseded"] else 0
-    for n, category, detail in ((dead, "STRUCTURE", "SHADOWED_OBJECTS"), (pdf.issues["length"], "CORRUPTED", "STREAM_LENGTH_WRONG"), (pdf.issues["malformed"], "CORRUPTED", "MALFORMED_OBJECT"), (0 if pdf.issues["rebuilt"] else pdf.issues["offsets"], "CORRUPTED", "MALFORMED_OBJECT")):
+        incomplete |= walk.cut
+    for n, category, detail in ((dead, "STRUCTURE", "SHADOWED_OBJECTS"), (pdf.issues["length"], "CORRUPTED", "STREAM_LENGTH_WRONG"), (pdf.issues["malformed"], "CORRUPTED", "MALFORMED_OBJECT")):
         if n:
             tell(category, detail, value=n)
+    for issue, (location, reason) in REASONS.items():
+        # a rebuilt table has no rows to be wrong
+        if (n := pdf.issues[issue]) and not (issue in ("offsets", "generations") and pdf.issues["rebuilt"]):
+            tell("CORRUPTED", "MALFORMED_OBJECT", location, reason if issue == "direct_root" else f"{reason}: {n}", issue == "structural")
     if pdf.notes.repeated:
-        tell("CORRUPTED", "MALFORMED_OBJECT", value=", ".join(list(pdf.notes.repeated)[:10]))
+        tell("CORRUPTED", "MALFORMED_OBJECT", value="repeated dictionary keys: " + ", ".join(list(pdf.notes.repeated)[:10]))
     pages = len(walk.pages) if walk else 0
     if walk is not None and not pages:
         tell("CORRUPTED", "UNPARSEABLE", value="no pages")
         incomplete = True
+    signed = walk is not None and walk.signed and not incomplete and not dead and not hidden and not pdf.issues["rebuilt"]
     output = walk.write() if walk is not None and remove is not None and not incomplete else None
-    return Report(pdf.version, pages, incomplete, rows, walk.content_lengths() if walk else [], output)
+    return Report(pdf.version, pages, incomplete, rows, walk.content_lengths() if walk else [], signed, output)

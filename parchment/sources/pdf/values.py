@@ -18,10 +18,32 @@ class Ref(NamedTuple):
 
 
 class Stream(dict):
-    """A stream's dictionary, with its undecoded bytes."""
+    """A stream's dictionary, with its undecoded bytes, which are taken from the file when they are asked for."""
 
-    raw: bytes = b""
-    number: Ref | None = None
+    def __init__(self, *args, **kw):
+        super().__init__(*args, **kw)
+        self._raw: bytes = b""
+        self._load = None
+        self.number: Ref | None = None
+        self.size: int | None = None
+
+    @property
+    def raw(self) -> bytes:
+        return self._raw if self._load is None else self._load()
+
+    @raw.setter
+    def raw(self, data: bytes) -> None:
+        self._raw, self._load, self.size = data, None, len(data)
+
+    def later(self, load, size: int | None = None) -> "Stream":
+        """Take the bytes from load() each time; size is their number where it is known."""
+        self._load, self.size = load, size
+        return self
+
+    def like(self, other: "Stream") -> "Stream":
+        """Hold the other stream's bytes."""
+        self._raw, self._load, self.number, self.size = other._raw, other._load, other.number, other.size
+        return self
 
 
 class SyntaxTrouble(ValueError):
@@ -91,8 +113,12 @@ def _read_name(raw: bytes, notes: Notes | None) -> Name:
     return Name((_hex_escape.sub(plain, raw) if b"#" in raw else raw).decode("latin-1"))
 
 
-def read_value(data: bytes, at: int = 0, notes: Notes | None = None):
-    """(value, position after it). Numbers are int or float, strings bytes, names Name, dictionaries dict."""
+def read_value(data: bytes, at: int = 0, notes: Notes | None = None, lift=None):
+    """(value, position after it). Numbers are int or float, strings bytes, names Name, dictionaries dict.
+
+    A stream inside another value, which has no place there, is handed to lift(dictionary, position of its keyword),
+    which gives what stands for it and the position after it.
+    """
     stack: list[tuple[bytes, list]] = []
     while True:
         at = skip(data, at)
@@ -139,6 +165,9 @@ def read_value(data: bytes, at: int = 0, notes: Notes | None = None):
                         at = stray.end()
             elif m := _word.match(data, at):
                 if m[0] not in (b"true", b"false", b"null"):
+                    if lift is not None and m[0] == b"stream" and stack and stack[-1][1] and type(stack[-1][1][-1]) is dict:
+                        stack[-1][1][-1], at = lift(stack[-1][1][-1], at)
+                        continue
                     if stack and m[0] not in (b"obj", b"endobj", b"stream", b"endstream", b"xref", b"trailer", b"startxref"):
                         at = m.end()  # a stray word in a container is passed over
                         continue
@@ -189,7 +218,7 @@ def write_value(value) -> bytes:
         elif isinstance(v, Name):
             out.append(b"/" + _regular.sub(lambda m: "#%02X" % (ord(m[0]) & 255), v).encode("latin-1", "replace"))
         elif isinstance(v, bytes):
-            out.append(b"<" + v.hex().encode() + b">")
+            out.append(b"<" + v.hex().encode() + b">" if len(v) <= 256 else _written(v))
         elif isinstance(v, int):
             out.append(b"%d" % v)
         elif isinstance(v, float):
@@ -209,11 +238,26 @@ def write_value(value) -> bytes:
     return b"".join(out)
 
 
+_special = re.compile(rb"[\\()\r]|obj")
+
+
+def _written(data: bytes) -> bytes:
+    """A long string as a literal; no scan for objects shall find one in it."""
+    return b"(" + _special.sub(lambda m: {b"\r": b"\\r", b"obj": b"\\157bj"}.get(m[0], b"\\" + m[0]), data) + b")"
+
+
 class _Raw:
     def __init__(self, data: bytes):
         self.data = data
 
 
+def encode_text(text: str) -> bytes:
+    """The bytes of a text string: byte for byte where that is enough, else UTF-16 behind its mark."""
+    if all(c in "\t\n\r" or " " <= c <= "~" or "\xa1" <= c <= "\xff" for c in text):
+        return text.encode("latin-1")
+    return b"\xfe\xff" + text.encode("utf-16-be", "surrogatepass")
+
+
 def text_of(value) -> str | None:
     """A text string's characters: by its byte order mark, else byte for byte; None for other values."""
     if not isinstance(value, bytes):

@@ -6,18 +6,27 @@ only reports; policy decides outside; the second walk is given the slots to remo
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
+import sys
+import zlib
 from collections import deque
 from typing import NamedTuple
 
 from parchment.sources.pdf.document import Pdf
 from parchment.sources.pdf.filters import chain_of
-from parchment.sources.pdf.values import Name, Ref, Stream, text_of, write_value
+from parchment.sources.pdf.values import Name, Ref, Stream, encode_text, text_of, write_value
 from parchment.sources.pdf.xfa import FormTrouble, form_items, without
 
 
 class Item(NamedTuple):
-    """A finding, or a link or file whose finding is decided outside: detail is then empty."""
+    """A finding, or what is decided outside: a link or file (detail empty), a label beside its links (LABEL), a further
+    name of a file (NAME), a picture of a form (IMAGE), a calculation order (ORDER), a silent loss (LOST).
+
+    content: a file's bytes, a script's text, a picture's data. other: a link's second reading, the first name of a
+    file that has a further one. forced: goes whatever a caller's overrides say.
+    """
 
     ordinal: int
     category: str
@@ -27,6 +36,8 @@ class Item(NamedTuple):
     value: str
     label: str
     content: bytes | None
+    other: str = ""
+    forced: bool = False
 
 
 # Action types, annotation types, triggers and what each of them is reported as.
@@ -56,7 +67,10 @@ FORM_PARTS = {
 }
 
 GONE = object()
-NODES, LINKS = 1_000_000, 1000
+#: Nodes of a name tree, links of a chain of actions, links of a chain that labels are held against, characters of a label, objects that are walked.
+NODES, LINKS, CHECKED, LABEL, MOST = 1_000_000, 1000, 256, 4096, 10_000_000
+# values nest to 512 levels and chains of actions to LINKS, a few calls a level
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 
 
 def short(text: str, n: int = 60) -> str:
@@ -64,8 +78,16 @@ def short(text: str, n: int = 60) -> str:
 
 
 class Walk:
-    def __init__(self, pdf: Pdf, remove: frozenset[str] = frozenset(), strip_metadata: bool = False):
-        self.pdf, self.remove, self.strip_metadata = pdf, remove, strip_metadata
+    def __init__(self, pdf: Pdf, remove: frozenset[str] = frozenset(), strip_metadata: bool = False, bodies: dict[str, bytes] | None = None):
+        """remove: slots that go. bodies: what stands instead in a slot that stays: files, scripts, pictures."""
+        self.pdf, self.remove, self.strip_metadata, self.bodies = pdf, remove, strip_metadata, bodies or {}
+        self.told_files: set[tuple[int, str]] = set()
+        self.first_names: dict[int, str] = {}
+        self.file_streams: set[int] = set()
+        self.signed = self.cut = False
+        self.lost = ""
+        self.orders: list[tuple[str, list[int]]] = []
+        self.calculations: dict[int, list[str]] = {}
         self.items: list[Item] = []
         self.kept: dict[int, object] = {}
         self.queue: deque[tuple[Ref, str, str]] = deque()
@@ -78,6 +100,7 @@ class Walk:
         self.removed = False
         self.root = pdf.trailer.get("Root")
         self._plan()
+        self._labels()
         catalog = pdf.resolve(self.root)
         self.info = self._information()
         self.catalog = self._dict(catalog, "root", "document catalog", "catalog") if isinstance(catalog, dict) else {}
@@ -88,9 +111,9 @@ class Walk:
 
     # telling
 
-    def tell(self, category: str, detail: str, location: str = "", slot: str = "", value: str = "", label: str = "", content: bytes | None = None) -> bool:
+    def tell(self, category: str, detail: str, location: str = "", slot: str = "", value: str = "", label: str = "", content: bytes | None = None, other: str = "", forced: bool = False) -> bool:
         """Report, and say whether the slot is to go."""
-        self.items.append(Item(len(self.items), category, detail, location, slot, value, label, content))
+        self.items.append(Item(len(self.items), category, detail, location, slot, value, label, content, other, forced))
         gone = bool(slot) and slot in self.remove
         self.removed |= gone
         return gone
@@ -105,8 +128,12 @@ class Walk:
             annots = self.pdf.resolve(held.get("Annots"))
             box = self._box(held)
             for k, a in enumerate(annots if isinstance(annots, list) else []):
-                if isinstance(a, Ref) and a.num not in self.place:
-                    self.place[a.num] = (f"{where}, annotation {k + 1}", i, box)
+                if isinstance(a, Ref):  # the first page that shows it gives the place, the smallest the box
+                    first = self.place.get(a.num)
+                    if first is None or first[2] is None:
+                        self.place[a.num] = (f"{where}, annotation {k + 1}", i, box)
+                    elif _area(box) < _area(first[2]):
+                        self.place[a.num] = (*first[:2], box)
         root = self.pdf.resolve(self.root)
         if isinstance(root, dict):
             if isinstance(root.get("Names"), Ref):
@@ -114,6 +141,29 @@ class Walk:
             if isinstance(root.get("AcroForm"), Ref):
                 self.roles[root["AcroForm"].num] = "form"
 
+    def _labels(self) -> None:
+        """Annotations' alternative texts: of the nearest structure element above them that has one."""
+        root = self.pdf.resolve(self.root)
+        todo: list[tuple[object, str | None]] = [(root.get("StructTreeRoot"), None)] if isinstance(root, dict) else []
+        seen: set[int] = set()
+        while todo:
+            v, alt = todo.pop()
+            if isinstance(v, Ref):
+                if v.num in seen:
+                    continue
+                seen.add(v.num)
+                v = self.pdf.get(v)
+            if isinstance(v, list):
+                todo += [(x, alt) for x in v]
+            elif isinstance(v, dict):
+                if v.get("Type") == "OBJR" or ("Obj" in v and "S" not in v):
+                    if isinstance(v.get("Obj"), Ref) and alt:
+                        self.alt[v["Obj"].num] = alt
+                    continue
+                own = text_of(self.pdf.resolve(v.get("Alt")))
+                own = text_of(self.pdf.resolve(v.get("ActualText"))) if own is None else own
+                todo.append((v.get("K"), alt if own is None else own))
+
     def _box(self, held: dict) -> list[float]:
         def numbers(v) -> list[float] | None:
             v = [self.pdf.resolve(x) for x in v] if isinstance(v := self.pdf.resolve(v), list) and len(v) == 4 else []
@@ -140,7 +190,7 @@ class Walk:
 
     def _drain(self) -> None:
         while self.queue:
-            if len(self.seen) > NODES:
+            if len(self.seen) > MOST:
                 raise MemoryError("too many objects")
             ref, location, role = self.queue.popleft()
             if ref.num in self.seen:
@@ -148,12 +198,25 @@ class Walk:
             self.seen.add(ref.num)
             value = self.cleaned[ref.num] if ref.num in self.cleaned else self.pdf.get(ref)
             where = self.place.get(ref.num, (location,))[0]
+            if isinstance(value, Stream):
+                if value.get("Type") in ("XRef", "ObjStm"):
+                    self.pdf.mark("structural", ref.num)
+                    continue
+                if not self.pdf.can_decrypt(value):
+                    if ref.num not in self.file_streams:
+                        self.tell("ENCRYPTED", "NO_KEY", where, f"obj:{ref.num}", forced=True)
+                    continue
+                if f"file:{ref.num}" in self.bodies:
+                    value = self._replaced(value, self.bodies[f"file:{ref.num}"])
             clean = self._value(value, f"obj:{ref.num}", where, self.roles.get(ref.num, role))
             if clean is not GONE:
                 self.kept[ref.num] = clean
 
     def _value(self, value, path: str, location: str, role: str = ""):
         if isinstance(value, Ref):
+            row = self.pdf.table.get(value.num)
+            if row is not None and row[0] != "free" and value.gen != self.pdf.generation(value.num):
+                self.pdf.mark("reference_generations", (value.num, value.gen))
             self.queue.append((value, location, role))
             return value
         if isinstance(value, list):
@@ -186,9 +249,7 @@ class Walk:
         if kind == "triggers":
             return self._triggers(d, path, location, "annotation")
         skip: set[str] = set()
-        out: dict = Stream() if isinstance(d, Stream) else {}
-        if isinstance(d, Stream):
-            out.raw = d.raw
+        out: dict = Stream().like(d) if isinstance(d, Stream) else {}
         before = getattr(self, f"_{kind}", None)
         if before is not None:
             answer = before(d, path, location, out, skip)
@@ -285,18 +346,27 @@ class Walk:
                 self._pass(value)
                 return GONE
             return value
-        ranges = []
+        ranges, instead = [], {}
         for part in parts:
             where, slot = f"XFA {part.packet}" + (f", {part.som}" if part.som else ""), f"{at}#{part.kind}{part.start}"
-            gone = self.tell(*FORM_PARTS[part.kind], where, slot, short(part.value, 120) if part.kind not in ("link", "href") else part.value)
-            if part.other:
-                gone |= self.tell("LINK", "", where, slot, part.other)
+            if part.kind == "image" and part.other:
+                gone = self.tell("FORM", "IMAGE", where, slot, "", part.value, base64.b64decode(part.other + "=" * (-len(part.other) % 4)))
+            elif part.kind == "script":
+                gone = self.tell("JAVASCRIPT", "XFA", where, slot, short(part.value, 120), content=part.other.encode("utf-8", "surrogatepass"))
+            elif part.kind == "image":
+                gone = self.tell("FORM", "XFA_IMAGE", where, slot, part.value, forced=True)
+            else:
+                gone = self.tell(*FORM_PARTS[part.kind], where, slot, short(part.value, 120) if part.kind not in ("link", "href") else part.value, other=part.other)
             if gone:
                 ranges.append((part.start, part.end))
+            elif slot in self.bodies:
+                new = self.bodies[slot]
+                ranges.append((part.start, part.end))
+                instead[part.start] = base64.b64encode(new) if part.kind == "image" else new.replace(b"&", b"&amp;").replace(b"<", b"&lt;").replace(b">", b"&gt;")
         if not ranges:
             return value
         out = []
-        for (name, ref, stream), before, after in zip(packets, bodies, without(bodies, ranges)):
+        for (name, ref, stream), before, after in zip(packets, bodies, without(bodies, ranges, instead)):
             if len(packets) > 1 and after != before and not after.strip():
                 self._pass(ref)
                 continue
@@ -394,21 +464,21 @@ class Walk:
         skip.update(k for k in d if k in TREES)
         if "JavaScript" in d:
             kept = []
-            for name, value in self._tree(d["JavaScript"]):
+            for k, (name, value) in enumerate(self._tree(d["JavaScript"])):
                 label = short(text_of(name) or "")
-                clean = self._slot(value, f"{path}/JavaScript/{name.hex()}", f'document script "{label}"', "DOCUMENT", False)
+                clean = self._slot(value, f"{path}/JavaScript[{k}]", f'document script "{label}"', "DOCUMENT", False)
                 if clean is not GONE:
-                    kept += [name, clean]
+                    kept.append((name, clean))
             if kept:
-                out["JavaScript"] = {"Names": kept}
+                out["JavaScript"] = {"Names": _sorted_names(kept)}
         if "EmbeddedFiles" in d:
             kept = []
-            for name, value in self._tree(d["EmbeddedFiles"]):
-                clean = self._files(value, f"{path}/EmbeddedFiles/{name.hex()}", f'attachment "{short(text_of(name) or "")}"')
+            for k, (name, value) in enumerate(self._tree(d["EmbeddedFiles"])):
+                clean = self._files(value, f"{path}/EmbeddedFiles[{k}]", f'attachment "{short(text_of(name) or "")}"')
                 if clean is not GONE:
-                    kept += [name, clean]
+                    kept.append((name, clean))
             if kept:
-                out["EmbeddedFiles"] = {"Names": kept}
+                out["EmbeddedFiles"] = {"Names": _sorted_names(kept)}
         for k, where in (("AlternatePresentations", "document"), ("Renditions", "document renditions")):
             if k in d:
                 if self.tell(*TREES[k], where, f"{path}/{k}"):
@@ -418,8 +488,25 @@ class Walk:
         return "document names"
 
     def _tree(self, value) -> list[tuple[bytes, object]]:
-        out, todo, seen = [], [value], set()
-        while todo and len(seen) < NODES:
+        """The entries of a name tree, whatever their keys; arrays that several nodes share are read once."""
+        out, todo, seen, nodes = [], [value], set(), 0
+
+        def once(v):
+            """The array behind a node's entry, or None where it was read before."""
+            while isinstance(v, Ref):
+                if v.num in seen:
+                    return None
+                seen.add(v.num)
+                self.seen.add(v.num)
+                v = self.pdf.get(v)
+            return v if isinstance(v, list) else None
+
+        while todo:
+            nodes += 1
+            if nodes > NODES:
+                self.tell("CORRUPTED", "MALFORMED_OBJECT", "name tree", value="too many nodes")
+                self.cut = True
+                break
             v = todo.pop()
             if isinstance(v, Ref):
                 if v.num in seen:
@@ -429,16 +516,43 @@ class Walk:
             node = self.pdf.resolve(v)
             if not isinstance(node, dict):
                 continue
-            kids = self.pdf.resolve(node.get("Kids"))
-            todo += reversed(kids) if isinstance(kids, list) else []
-            names = self.pdf.resolve(node.get("Names"))
-            if isinstance(names, list):
-                out += [(k if isinstance(k, bytes) else str(k).encode(), x) for k, x in zip(names[::2], names[1::2])]
+            names = once(node.get("Names"))
+            if names is not None:
+                for k, x in zip(names[::2], names[1::2]):
+                    k = self.pdf.resolve(k)
+                    if not isinstance(k, (bytes, Name)):
+                        self.tell("CORRUPTED", "MALFORMED_OBJECT", "name tree", value="a key that is not a string")
+                    out.append((k if isinstance(k, bytes) else k.encode("latin-1", "replace") if isinstance(k, Name) else b"", x))
+            kids = once(node.get("Kids"))
+            todo += reversed(kids) if kids is not None else []
         return out
 
     def _form(self, d: dict, path: str, location: str, out: dict, skip: set[str]):
+        order = self.pdf.resolve(d.get("CO"))
+        if isinstance(order, list):
+            skip.add("CO")
+            if isinstance(d["CO"], Ref):
+                self.seen.add(d["CO"].num)
+            self.orders.append((f"{path}/CO", [r.num for r in order if isinstance(r, Ref)]))
+            out["CO"] = [r for r in order if isinstance(r, Ref)]
+            self.ordered = out
         return "form"
 
+    def _order(self) -> None:
+        """A calculation order: it keeps the fields whose calculations stay; where none does, it may go itself."""
+        for slot, fields in self.orders:
+            scripts = {n: self.calculations.get(n, []) for n in fields}
+            every = [s for held in scripts.values() for s in held]
+            gone = [s for s in every if s in self.remove]
+            if every:
+                told = self.tell("FORM", "ORDER", "form", slot, "\0".join(every))
+                if gone:
+                    kept = [r for r in self.ordered["CO"] if any(s not in self.remove for s in scripts.get(r.num, []))]
+                    if kept or told:
+                        self.ordered["CO"] = kept
+                if not self.ordered["CO"]:
+                    del self.ordered["CO"]
+
     def _bookmark(self, d: dict, path: str, location: str, out: dict, skip: set[str]):
         where = f'bookmark "{short(text_of(d.get("Title")) or "")}"'
         if "A" in d:
@@ -463,6 +577,20 @@ class Walk:
             self.tell("FORM", "FIELDS", "form")
         if d.get("FT") == "Sig" and "V" in d:
             self.tell("SIGNATURE", "SIGNED", "form")
+            self.signed = self.signed or self._signs_all(d["V"])
+
+    def _signs_all(self, value) -> bool:
+        """Whether a signature covers every byte of the file but its own /Contents, right behind that key."""
+        sig = self.pdf.resolve(value)
+        if not isinstance(sig, dict):
+            return False
+        covered, contents = self.pdf.resolve(sig.get("ByteRange")), self.pdf.resolve(sig.get("Contents"))
+        if not isinstance(covered, list) or len(covered) != 4 or not all(type(x) is int and x >= 0 for x in covered) or not isinstance(contents, bytes):
+            return False
+        start, gap, end, rest = covered
+        data = self.pdf.data
+        fits = start == 0 and gap > 0 and end == gap + 2 + 2 * len(contents) and end + rest == len(data)
+        return fits and re.search(rb"/Contents\s*<$", data[max(0, gap - 16) : gap + 1]) is not None and data[end - 1 : end] == b">"
 
     def _annotation(self, d: dict, path: str, location: str, out: dict, skip: set[str]):
         sub = self.pdf.resolve(d.get("Subtype"))
@@ -497,18 +625,45 @@ class Walk:
         if widget:
             self._form_part(d)
         detail = "LINK" if sub == "Link" else "FIELD" if widget else "ANNOTATION"
-        label = "\n".join(t for t in (text_of(self.pdf.resolve(d.get("Contents"))), text_of(self.pdf.resolve(d.get("TU"))) if widget else None, self.alt.get(num)) if t)
+        labels = (text_of(self.pdf.resolve(d.get("Contents"))), text_of(self.pdf.resolve(d.get("TU"))) if widget else None, self.alt.get(num))
+        label = "\0".join(t[:LABEL] for t in labels if t)
         for k in ("A", "PA"):
             if k in d:
                 skip.add(k)
-                clean = self._slot(d[k], f"{path}/{k}", where, detail, False, label[:4096])
-                if clean is not GONE:
+                misled = bool(label) and self._misleads(d[k], f"{path}/{k}#label", where, label)
+                clean = self._slot(d[k], f"{path}/{k}", where, detail, False)
+                if misled:
+                    self._pass(d[k])
+                elif clean is not GONE:
                     out[k] = clean
         if "P" in d:
             skip.add("P")
             out["P"] = d["P"]
         return where
 
+    def _misleads(self, value, slot: str, location: str, label: str) -> bool:
+        """Tell what a label stands beside: the addresses of an action and of its whole chain."""
+        todo, uris, seen = deque([value]), [], set()
+        steps = 0
+        while todo:
+            steps += 1
+            if steps > CHECKED:
+                return self.tell("LINK", "TEXT_MISMATCH", location, slot, "action chain too long to check")
+            v = todo.popleft()
+            if isinstance(v, Ref):
+                if v.num in seen:
+                    continue
+                seen.add(v.num)
+                v = self.pdf.get(v)
+            if isinstance(v, list):
+                todo += v[: CHECKED + 1]
+            elif isinstance(v, dict):
+                if "Next" in v:
+                    todo.append(v["Next"])
+                if self.pdf.resolve(v.get("S")) == "URI":
+                    uris += readings(self.pdf.resolve(v.get("URI")))
+        return bool(uris) and self.tell("LINK", "LABEL", location, slot, "\0".join(uris), label)
+
     # actions
 
     def _triggers(self, value, path: str, location: str, owner: str):
@@ -520,17 +675,26 @@ class Walk:
         out = {}
         for k, v in d.items():
             trigger = TRIGGERS[owner].get(k) or (TRIGGERS["annotation"].get(k) if owner == "field" else None) or k
+            if k == "C" and owner in ("field", "annotation") and path.startswith("obj:"):
+                action = self.pdf.resolve(v)
+                if isinstance(action, dict) and self.pdf.resolve(action.get("S")) == "JavaScript":
+                    self.calculations.setdefault(int(re.match(r"obj:(-?\d+)", path)[1]), []).append(f"{path}/{k}")
             clean = self._slot(v, f"{path}/{k}", f"{location} {trigger} trigger", {"document": "DOCUMENT", "page": "PAGE", "field": "FIELD"}.get(owner, "ANNOTATION"), True)
             if clean is not GONE:
                 out[k] = clean
         return out if out or not d else GONE
 
-    def _slot(self, value, path: str, location: str, detail: str, triggered: bool, label: str = "", chain: frozenset[int] = frozenset()):
+    def _slot(self, value, path: str, location: str, detail: str, triggered: bool, chain: frozenset[int] = frozenset()):
         """An action where an action belongs. It is written inline; loops in its chain are cut."""
         if value is None:
             return GONE
         if isinstance(value, Ref):
-            if value.num in chain or len(chain) > LINKS:
+            if value.num in chain:
+                self.lost = self.lost or location
+                return GONE
+            if len(chain) > LINKS:
+                self.tell("CORRUPTED", "MALFORMED_OBJECT", location, path, "action chain too long")
+                self.cut = True
                 return GONE
             chain |= {value.num}
             self.seen.add(value.num)
@@ -546,21 +710,22 @@ class Walk:
             gone = self.tell("ACTION", "TRIGGERED", location, f"{path}!trigger", str(kind or "none"))
         else:
             gone = False
-        clean = self._action(d, path, location, detail, chain, triggered, label)
+        clean = self._action(d, path, location, detail, chain, triggered)
         return GONE if gone else clean
 
-    def _action(self, d: dict, path: str, location: str, detail: str, chain=frozenset(), triggered: bool = False, label: str = ""):
+    def _action(self, d: dict, path: str, location: str, detail: str, chain=frozenset(), triggered: bool = False):
         kind = self.pdf.resolve(d.get("S"))
         gone = False
         if kind in ("JavaScript", "Rendition") and ("JS" in d or kind == "JavaScript"):
             script = self.pdf.resolve(d.get("JS"))
             text = text_of(self.pdf.bytes_of(script) if isinstance(script, Stream) else script)
-            gone = self.tell("JAVASCRIPT", "RENDITION" if kind == "Rendition" else detail, location, path, short((text or "").replace("\0", ""), 120))
+            text = None if text is None and isinstance(script, Stream) else (text or "").replace("\0", "")
+            gone = self.tell("JAVASCRIPT", "RENDITION" if kind == "Rendition" else detail, location, path, short(text or "", 120), content=None if text is None else text.encode("utf-8", "surrogatepass"))
         if kind == "Rendition":
             gone |= self.tell("MEDIA", "RENDITION", location, f"{path}!media")
         elif kind == "URI":
-            raw = self.pdf.resolve(d.get("URI"))
-            gone = self.tell("LINK", "", location, path, uri_of(raw), label)
+            first, *second = readings(self.pdf.resolve(d.get("URI")))
+            gone = self.tell("LINK", "", location, path, first, other="".join(second))
         elif kind == "JavaScript" or kind in NAVIGATION or (kind == "Thread" and "F" not in d) or (kind == "Named" and d.get("N") in STEPS):
             pass
         elif kind == "Thread":
@@ -575,7 +740,7 @@ class Walk:
         follow = d.get("Next")
         listed = self.pdf.resolve(follow)
         chained = [(f"{path}/Next[{i}]", v) for i, v in enumerate(listed)] if isinstance(listed, list) else [(f"{path}/Next", follow)] if follow is not None else []
-        after = [x for at, v in chained if (x := self._slot(v, at, f"{location} (chained)", "CHAINED", triggered, "", frozenset(chain))) is not GONE]
+        after = [x for at, v in chained if (x := self._slot(v, at, f"{location} (chained)", "CHAINED", triggered, frozenset(chain))) is not GONE]
         if gone:
             self._pass({k: v for k, v in d.items() if k != "Next"})
             return GONE
@@ -587,6 +752,10 @@ class Walk:
             if k == "JS" and kind not in ("JavaScript", "Rendition") and self.tell("JAVASCRIPT", "UNATTACHED", location, f"{path}/JS"):
                 self._pass(v)
                 continue
+            if k == "JS" and path in self.bodies:
+                self._pass(v)
+                out[k] = encode_text(self.bodies[path].decode("utf-8", "surrogatepass"))
+                continue
             clean = self._value(v, f"{path}/{k}", location)
             if clean is not GONE:
                 out[k] = clean
@@ -621,29 +790,84 @@ class Walk:
         return self._dict(d, path, location, "file")
 
     def _file_parts(self, d: dict, path: str, location: str, out: dict, skip: set[str]):
-        names = list(dict.fromkeys(t for k in ("UF", "F", "Unix", "Mac", "DOS") if (t := text_of(self.pdf.resolve(d.get(k)))) is not None))
-        name = names[0] if names else ""
+        """Readers open different streams of /EF and show different names: a file stays only if each of its streams
+        does, under each of its names."""
+        names = list(dict.fromkeys(t for k in ("UF", "F", "Unix", "Mac", "DOS") if (t := text_of(self.pdf.resolve(d.get(k)))) is not None)) or [""]
         held = self.pdf.resolve(d.get("EF"))
-        main = (held.get("UF") or held.get("F")) if isinstance(held, dict) else None
-        stream = self.pdf.resolve(main)
-        if not isinstance(stream, Stream):
-            if self.tell("EMBEDDED_FILE", "NO_PLUGIN", location, path, name):
-                self._pass(d)
-                return GONE
-            return location
-        plain = self.pdf.bytes_of(stream)
-        declared = self.pdf.resolve(stream.get("Subtype"))
-        if self.tell("EMBEDDED_FILE", "", location, path, name, str(declared or ""), plain if plain is not None else b""):
+        main = (held["UF"] if "UF" in held else held.get("F")) if isinstance(held, dict) else None
+        gone = False
+        if not isinstance(main, Ref):
+            gone = self.tell("EMBEDDED_FILE", "NO_PLUGIN", location, path, names[0])
+        elif not isinstance(self.pdf.resolve(main), Stream):
+            gone = self.tell("CORRUPTED", "MALFORMED_OBJECT", location, path, "embedded file is not a stream")
+        kept: dict = {}
+        for k, v in (held.items() if isinstance(held, dict) else ()):
+            stream = self.pdf.resolve(v)
+            if isinstance(v, Ref) and isinstance(stream, Stream):
+                gone |= any([self._decide(self._last(v), stream, name, location) for name in names])
+                kept[k] = v
+            elif v is not None and not self.tell("CORRUPTED", "MALFORMED_OBJECT", location, f"{path}/EF/{k}", "embedded file is not a stream"):
+                kept[k] = v
+        if gone:
             self._pass(d)
             return GONE
-        if "RF" in d and self.tell("EMBEDDED_FILE", "NO_PLUGIN", location, f"{path}/RF", name):
+        if "RF" in d and self.tell("EMBEDDED_FILE", "NO_PLUGIN", location, f"{path}/RF", names[0]):
             skip.add("RF")
             self._pass(d["RF"])
+        if isinstance(held, dict):
+            skip.add("EF")
+            if isinstance(d["EF"], Ref):
+                self.seen.add(d["EF"].num)
+            out["EF"] = {k: self._value(v, f"{path}/EF/{k}", location) for k, v in kept.items()}
         return location
 
+    def _last(self, ref: Ref) -> Ref:
+        for _ in range(32):
+            v = self.pdf.get(ref)
+            if not isinstance(v, Ref):
+                break
+            ref = v
+        return ref
+
+    def _decide(self, ref: Ref, stream: Stream, name: str, location: str) -> bool:
+        """Tell a stream of an attached file once, and once more for each further name; whether it is to go."""
+        slot, declared = f"file:{ref.num}", str(self.pdf.resolve(stream.get("Subtype")) or "")
+        if ref.num not in self.file_streams:
+            self.file_streams.add(ref.num)
+            self.told_files.add((ref.num, name))
+            self.first_names[ref.num] = name
+            if not self.pdf.can_decrypt(stream):
+                self.tell("EMBEDDED_FILE", "NO_PLUGIN", location, slot, name, "encrypted", forced=True)
+                return True
+            plain = self.pdf.bytes_of(stream)
+            if plain is None:
+                return self.tell("EMBEDDED_FILE", "NO_PLUGIN", location, slot, name, "cannot decode")
+            return self.tell("EMBEDDED_FILE", "", location, slot, name, declared, plain)
+        first = self.first_names[ref.num]
+        gone = slot in self.remove or not self.pdf.can_decrypt(stream)
+        if name == first:
+            return gone
+        slot = f"{slot}!{name}"
+        if (ref.num, name) in self.told_files:
+            return gone or slot in self.remove
+        self.told_files.add((ref.num, name))
+        plain = self.pdf.bytes_of(stream)
+        return self.tell("EMBEDDED_FILE", "NAME", location, slot, name, declared, (plain or b"")[:1024], first) or gone
+
+    def _replaced(self, stream: Stream, body: bytes) -> Stream:
+        out = Stream({k: v for k, v in stream.items() if k not in ("Filter", "DecodeParms", "F", "DP", "Length")} | {"Filter": Name("FlateDecode")})
+        params = self.pdf.resolve(stream.get("Params"))
+        if isinstance(params, dict):
+            out["Params"] = {k: v for k, v in params.items() if k not in ("CheckSum", "Size")} | {"Size": len(body)}
+        out.raw = zlib.compress(body)
+        return out
+
     # the end
 
     def _after(self) -> None:
+        self._order()
+        if self.lost:
+            self.tell("PROCESSING", "LOST", self.lost)
         if self.pdf.notes.escaped:
             self.tell("STRUCTURE", "ESCAPED_NAMES", "document", value=", ".join(list(self.pdf.notes.escaped)[:10]))
         loose = 0
@@ -663,12 +887,12 @@ class Walk:
             self.tell("STRUCTURE", "UNREFERENCED_OBJECTS", "document", value=str(loose))
 
     def content_lengths(self) -> list[int]:
-        """For each page the bytes of its content, as the file holds them once decrypted."""
+        """For each page the bytes of its content, as the file holds them once decrypted; what no key opens adds nothing."""
         out = []
         for _, page, _ in self.pages:
             parts = self.pdf.resolve(page.get("Contents"))
             streams = [self.pdf.resolve(p) for p in parts] if isinstance(parts, list) else [parts]
-            out.append(sum(len(s.raw) for s in streams if isinstance(s, Stream)))
+            out.append(sum(len(s.raw) if s.size is None else s.size for s in streams if isinstance(s, Stream) and self.pdf.can_decrypt(s)))
         return out
 
     def write(self) -> bytes:
@@ -733,12 +957,21 @@ class Walk:
         return bytes(out)
 
 
-def uri_of(raw) -> str:
+def _area(box: list) -> float:
+    return (box[2] - box[0]) * (box[3] - box[1])
+
+
+def _sorted_names(pairs: list[tuple[bytes, object]]) -> list:
+    return [x for pair in sorted(pairs, key=lambda p: p[0]) for x in pair]
+
+
+def readings(raw) -> list[str]:
+    """What readers take an address to be: a name is read with and without its slash, a string as UTF-8 or byte for byte."""
     if isinstance(raw, Name):
-        return str(raw)
+        return [f"/{raw}", str(raw)]
     if not isinstance(raw, bytes):
-        return ""
+        return [""]
     try:
-        return raw.decode("utf-8")
+        return [raw.decode("utf-8")]
     except UnicodeDecodeError:
-        return raw.decode("latin-1")
+        return [raw.decode("latin-1")]

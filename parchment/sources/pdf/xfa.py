@@ -229,24 +229,35 @@ def form_items(data: bytes, strip_metadata: bool = False, images: frozenset[str]
         picture = (code and node.name == "image") or (packet == "datasets" and node.get("contentType").strip().lower().startswith("image/"))
         if picture and not node.children:
             if words:
-                out.append(FormItem("image", node.inside, node.inside_end, packet, owner.som(), node.get("contentType").strip() if _encoded(node) else "data that is not base64"))
+                out.append(FormItem("image", node.inside, node.inside_end, packet, owner.som(), node.get("contentType").strip() if _encoded(node) else "data that is not base64", "".join(node.said().split()) if _encoded(node) else ""))
         elif code and node.name == "script":
             if node.children or words:
-                out.append(FormItem("script", node.inside, node.inside_end, packet, ", ".join(x for x in (node.som(), node.activity()) if x), _language(node)))
+                out.append(FormItem("script", node.inside, node.inside_end, packet, ", ".join(x for x in (node.som(), node.activity()) if x), _language(node), "" if node.children or node.loose else node.said()))
         else:
             todo += [(child, packet) for child in reversed(node.children)]
     return out
 
 
-def without(bodies: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
-    """The parts of a form whose concatenation has these byte ranges, without them; a range may span several parts."""
+def without(bodies: list[bytes], ranges: list[tuple[int, int]], instead: dict[int, bytes] | None = None) -> list[bytes]:
+    """The parts of a form whose concatenation has these byte ranges, without them; a range may span several parts.
+
+    instead: what stands in place of a range, by its start. Of ranges that overlap the first, then the longest counts.
+    """
+    instead = instead or {}
+    edits, stop = [], -1
+    for start, end in sorted(set(ranges), key=lambda r: (r[0], -r[1])):
+        if start >= stop:
+            edits.append((start, end, instead.get(start, b"")))
+            stop = end
     out, at = [], 0
     for body in bodies:
         kept, here = [], 0
-        for start, end in sorted(ranges, key=lambda r: (r[0], -r[1])):
+        for start, end, new in edits:
             a, b = max(start - at, here), min(end - at, len(body))
-            if a < b:
+            if a < b or (a == b == start - at and new and 0 <= a <= len(body)):
                 kept.append(body[here:a])
+                if 0 <= start - at < len(body):  # the part that holds its start holds what comes instead
+                    kept.append(new)
                 here = b
         out.append(b"".join(kept) + body[here:])
         at += len(body)

@@ -118,7 +118,7 @@ def test_unreadable_form_goes_whole(bad):
 def test_form_is_cleaned_across_packets():
     data = form("<xdp><template><field><script>a</script><image>AAAA</image></field></temp", "late></xdp>")
     first = inspect(data)
-    assert [k for k in kinds(first) if k[1] != "FIELDS"] == [("FORM", "XFA"), ("JAVASCRIPT", "XFA"), ("FORM", "XFA_IMAGE")]
+    assert [k for k in kinds(first) if k[1] != "FIELDS"] == [("FORM", "XFA"), ("JAVASCRIPT", "XFA"), ("FORM", "IMAGE")]
     out = inspect(data, remove=frozenset(i.slot for i in first.items if "#" in i.slot and not i.slot.endswith("#whole"))).output
     assert b"<script></script><image></image>" in out
     assert [k for k in kinds(inspect(out)) if k[1] != "FIELDS"] == [("FORM", "XFA")]
