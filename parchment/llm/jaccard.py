@@ -385,6 +385,33 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return once.join(wanted.hint("merge"), ["doc_id", "fp"])
 
 
+def _placed(members: DataFrame, threshold: float) -> DataFrame:
+    """members with the block of each (a number), the blocks it is compared with, and whether its group has several.
+
+    A group that is too large for one task falls into classes by size, such that two sets at the threshold are in one
+    class or in neighbours, and each class into blocks of bounded sets and bytes; only blocks of one class or of
+    neighbours meet. What is written before it is counted and joined leaves plain shuffles, of which Spark splits a
+    skewed one.
+    """
+    def blocks(rows: DataFrame, *keys: str) -> DataFrame:
+        sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+        return sums.select(*keys, F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("chars") / BLOCK_BYTES)).cast("int").alias("blocks"))
+
+    # a little wider than the threshold, so that rounding parts no pair
+    kind = F.floor(F.log("size") / math.log(1.001 / threshold)).cast("long")
+    whole = written(blocks(members, "group").select("group", (F.col("blocks") > 1).alias("many")), "sums")
+    members = written(members.join(whole.hint("merge"), "group").withColumn("kind", F.when(F.col("many"), kind).otherwise(F.lit(0).cast("long"))), "kinds")
+    sums = written(blocks(members, "group", "kind"), "sums")
+    near = sums.select("group", "kind", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.shiftleft("kind", 32) + k).alias("others"))
+    near = near.select("group", F.explode(F.array(*[F.col("kind") + d for d in (-1, 0, 1)])).alias("beside"), "others").withColumnRenamed("beside", "kind")
+    near = near.groupBy("group", "kind").agg(F.flatten(F.collect_list("others")).alias("others"))
+    near = written(near.join(sums.hint("merge"), ["group", "kind"]), "near")
+    own = F.shiftleft("kind", 32) + F.pmod(F.xxhash64("set_key"), F.col("blocks"))
+    out = written(members.join(near.hint("merge"), ["group", "kind"]).withColumn("block", own), "placed")
+    spent(whole, members, sums, near)
+    return out
+
+
 def _linked(docs: DataFrame, words: int, threshold: float, runs: int, depth: int, limit: int, recall: float) -> DataFrame:
     """jaccard_join for each (doc_id, fp) of _named, with two further columns: set_key, and root, the same in all sets
     of a class (both null without shingles)."""
@@ -408,18 +435,14 @@ def _linked(docs: DataFrame, words: int, threshold: float, runs: int, depth: int
         held.append(again)
     group = written(components(_candidates(leaf, sets, threshold), "candidates").select(F.col("node").alias("set_key"), F.col("root").alias("group")), "groups")
     spent(*held)
-    # written before they are counted and joined: both sides of the join are plain shuffles, of which Spark splits a skewed one
-    members = sets.select("set_key", "doc_id", "fp", "chars").join(group.hint("merge"), "set_key").join(first.select("set_key", "copies").hint("merge"), "set_key")
+    members = sets.select("set_key", "doc_id", "fp", "size", "chars").join(group.hint("merge"), "set_key").join(first.select("set_key", "copies").hint("merge"), "set_key")
     members = written(members, "members")
     spent(sets, group)
-    sums = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    sums = written(sums.select("group", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("chars") / BLOCK_BYTES)).cast("int").alias("blocks")), "sums")
-    placed = members.drop("chars").join(sums.hint("merge"), "group").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    placed = written(placed, "placed")
-    spent(members, sums)
-    told = _texts(docs, placed).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = _placed(members, threshold)
+    spent(members)
+    told = _texts(docs, placed.select("doc_id", "fp", "set_key", "group", "copies", "block", "many", F.explode("others").alias("other")))
     told = told.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    told = told.groupBy("group", "i", "j", (F.col("blocks") > 1).alias("many")).agg(F.collect_list(F.struct("set_key", "copies", "block", "text")).alias("members"))
+    told = told.groupBy("group", "i", "j", "many").agg(F.collect_list(F.struct("set_key", "copies", "block", "text")).alias("members"))
     found = written(_exact(told.select("i", "j", "many", "members"), words, threshold), "links")
     spent(placed)
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"), F.min("root").alias("root"))

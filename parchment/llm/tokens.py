@@ -44,7 +44,7 @@ class ChunkEncoder:
     odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     marks = ".,;:!?*#$%&|"
 
-    def __init__(self, path: str, capacity: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, capacity: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)

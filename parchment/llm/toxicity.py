@@ -51,7 +51,7 @@ class Lexicon:
     def weight(self, word: str) -> float:
         found = self.seen.get(word)
         if found is None:
-            if len(self.seen) > 300_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             w = self.weights
             found = max([w.get(word + "$", 0.0), *(w.get(word[:k], 0.0) for k in range(SHORTEST, min(LONGEST, len(word) - 1) + 1))])

@@ -167,6 +167,23 @@ def test_jaccard_join_against_brute_force(spark):
         assert [got[i]["class_id"] for i in range(len(texts))] == classes
 
 
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 6)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(90):  # one loose group of texts of many lengths, some with copies
+        w = base[: int(rng.integers(60, 120))]
+        for i in rng.integers(0, len(w), rng.integers(0, 4)):
+            w[i] = f"x{k}"
+        texts.append(" ".join(w))
+    texts += texts[:10]
+    links = brute_links(texts)
+    got = by_id(jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["n_links"] for i in range(len(texts))] == [len(x) for x in links]
+    assert [got[i]["class_id"] for i in range(len(texts))] == brute_classes(links)
+
+
 def test_split_buckets_keep_the_recall(spark):
     pairs, rng = 3000, np.random.default_rng(3)
     docs = []
