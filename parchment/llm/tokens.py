@@ -36,22 +36,23 @@ class ChunkEncoder:
 
     The tokenizer's split pattern never joins characters across a single space or line end between non-space
     characters: the space opens the next piece, the line end is a piece. Nor does it join a letter or digit to
-    punctuation after it. So a text is cut there, and each cut is asked of the library once while it is remembered.
+    punctuation after it, which opens a piece too. So a text is cut there, and each cut is asked of the library once
+    while it is remembered; words and the marks behind them are remembered apart.
     Where white space touches white space, or an added token such as <|endoftext|> stands, the library gets the whole
     text. Memory is bounded by capacity.
     """
 
-    odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    marks = ".,;:!?*#$%&|"
+    odd = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Marks behind a letter or digit: a piece of their own begins there, which \x01 stands before.
+    marks = re.compile(r"([^\W_])([.,;:!?*#$%&|])")
 
-    def __init__(self, path: str, capacity: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, capacity: int = 700_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.capacity, self.longest = capacity, longest
         self.known: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,50 +67,37 @@ class ChunkEncoder:
             out += [raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])]
         return out
 
-    def _learn(self, chunks: list[str]) -> list[str]:
-        """Remember each chunk, cut where punctuation follows its word; returns all that is new."""
-        known, cut, need = self.known, [], set()
-        for x in chunks:
-            word = x.rstrip(self.marks)
-            if len(word) < len(x) and word and word[-1].isalnum():
-                cut.append((x, word))
-                if word not in known:
-                    need.add(word)
-            else:
-                need.add(x)
-        plain = [x for x in need if x.isalpha()]
+    def _learn(self, chunks: list[str]) -> None:
+        known = self.known
+        plain = [x for x in chunks if x.isalpha()]
         known.update(zip(plain, self._ask_words(plain)))
-        other = [x for x in need if not x.isalpha()]
+        other = [x for x in chunks if not x.isalpha()]
         for at in range(0, len(other), 20_000):
             some = other[at : at + 20_000]
-            known.update(zip(some, self._ask([x if x[:1] == "\n" else " " + x for x in some])))
-        for x, word in cut:
-            rest = x[len(word) :]
-            if rest not in self.ends:
-                self.ends[rest] = self._ask([rest])[0]
-            known[x] = known[word] + self.ends[rest]
-        return [*need, *(x for x, _ in cut)]
+            known.update(zip(some, self._ask([x if x[:1] == "\n" else x[1:] if x[:1] == "\x01" else " " + x for x in some])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.capacity:
-            self.known, self.ends = {}, {}
+            self.known = {}
         known, parts, new = self.known, [], set()
         for text in texts:
             led = "\n" + text
             if "  " in led or " \n" in led or "\n " in led or "\n\n" in led or led[-1] == " " or self.odd.search(led) or any(t in led for t in self.added):
                 parts.append(None)
                 continue
-            chunks = led.replace("\n", " \n").split(" ")
+            chunks = self.marks.sub("\\1 \x01\\2", led.replace("\n", " \n")).split(" ")
             del chunks[0]
             parts.append(chunks)
             new.update(chunks)
-        fresh = self._learn([x for x in new if x not in known])
+        fresh = [x for x in new if x not in known]
+        self._learn(fresh)
         whole = iter(self._ask([t for t, p in zip(texts, parts) if p is None]))
         get = known.__getitem__
         out = [next(whole) if p is None else b"".join(map(get, p))[4:] for p in parts]
-        for x in [x for x in fresh if len(x) > self.longest]:
-            del known[x]
+        for x in fresh:
+            if len(x) > self.longest:
+                del known[x]
         return out
 
 

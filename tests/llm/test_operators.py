@@ -428,6 +428,16 @@ def test_url_parts_and_rules(spark):
     assert not urls.judge_urls(pages.where("false")).collect()
 
 
+def test_urls_on_odd_rows(spark):
+    """Repeated and null page_ids, null urls and html, very long html, and a link that every page has."""
+    long = '<a href="https://far.net/">' * 20_000 + "x" * 200_000
+    rows = [(1, "http://a.com/fr/", long), (1, "http://a.com/fr/", long), (None, "http://b.com/de/", '<a href="http://far.net/x">'), (None, None, long), (2, "http://far.net/y", None), (3, "http://alone.net/", "")]
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, verdict string, src string").repartition(3)
+    got = sorted((str(r["page_id"]), r["host"], r["rule"], r["verdict"]) for r in urls.judge_urls(pages).collect())
+    # trust runs along the links of a.com to far.net; distrust runs against links, and none leads to b.com
+    assert got == sorted([("1", "a.com", "com/fr/", "allow")] * 2 + [("None", "b.com", "com/de/", "block"), ("None", "", None, "allow"), ("2", "far.net", None, "allow"), ("3", "alone.net", None, "allow")])
+
+
 def test_propagation_against_power_iteration(spark):
     rng = np.random.default_rng(5)
     hosts = [f"h{i}.net" for i in range(12)] + ["good.com", "bad.com"]
