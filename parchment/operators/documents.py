@@ -99,7 +99,7 @@ def findings_of(read: DataFrame, base: str | None = None, files: Sequence[FilePl
     second = F.when(link & (F.col("other") != ""), links.link_verdict(F.col("other"), origin))
     rows = rows.withColumns({"v": F.when(link, links.link_verdict(F.col("value"), origin)), "v2": second, "sniffed": F.when(file | name | picture, sniffing.sniff_type(F.col("content")))})
     given = F.when(F.col("label") != "", F.col("label"))
-    named = F.when(name, F.col("other")).when(file, F.col("value"))
+    named = F.when(name, F.col("other")).when(file | (picture & (F.col("value") != "")), F.col("value"))
     rows = rows.withColumns({
         "v": _both_readings(F.col("v"), F.col("v2")), "misled": F.when(label, _misled(F.col("value"), F.col("label"), origin)),
         "odd": F.when(file | name, sniffing.types_disagree(given, F.col("value"), F.col("sniffed"))),

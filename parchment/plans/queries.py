@@ -466,8 +466,8 @@ def pdf_disarm_clean(spark, sf):
 
 
 def tabled(key: int, text: str) -> bytes:
-    """A document with two tables made from its key and text: rows that a spreadsheet would run, and plain ones."""
-    first, second = (f"{mark}{key},{text[:0]}x\n{key}\n".encode() for mark in ("=", "")[:: 1 if key % 3 else -1])
+    """A document with two attached tables made from its key; one of them has a cell that a spreadsheet would run."""
+    first, second = (f"{mark}{key},x\n{key}\n".encode() for mark in (("=", "") if key % 3 else ("", "=")))
     spec = "<< /Type /Filespec /F ({}.csv) /EF << /F {} 0 R >> >>"
     names = "/Names << /EmbeddedFiles << /Names [(a) 100 0 R (b) 101 0 R] >> >>"
     return builder.one_page(names, content=text.encode(), objects=[spec.format("a", 102), spec.format("b", 103), ("/Type /EmbeddedFile", first), ("/Type /EmbeddedFile /Filter /ASCIIHexDecode", second.hex().encode() + b">")]).build()

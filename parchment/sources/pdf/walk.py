@@ -84,14 +84,16 @@ class Walk:
         self.told_files: set[tuple[int, str]] = set()
         self.first_names: dict[int, str] = {}
         self.file_streams: set[int] = set()
-        self.signed = self.cut = False
+        self.signed = self.cut = self.form_kept = False
         self.lost = ""
         self.orders: list[tuple[str, list[int]]] = []
         self.calculations: dict[int, list[str]] = {}
         self.items: list[Item] = []
         self.kept: dict[int, object] = {}
         self.queue: deque[tuple[Ref, str, str]] = deque()
+        # objects visited as such; objects met inside others, or only in what goes: they count as referenced
         self.seen: set[int] = set()
+        self.met: set[int] = set()
         self.roles: dict[int, str] = {}
         self.place: dict[int, tuple[str, int, list | None]] = {}
         self.alt: dict[int, str] = {}
@@ -177,9 +179,11 @@ class Walk:
     def _information(self):
         info = self.pdf.resolve(self.pdf.trailer.get("Info"))
         if isinstance(info, dict) and info:
-            self.tell("METADATA", "INFO_DICTIONARY", "document")
+            gone = self.tell("METADATA", "INFO_DICTIONARY", "document", "information")
             if self.strip_metadata:
                 self.tell("METADATA", "STRIPPED", "document information")
+            if gone or self.strip_metadata:
+                self._pass(self.pdf.trailer["Info"])
                 return None
             if isinstance(self.pdf.trailer["Info"], Ref):
                 self.seen.add(self.pdf.trailer["Info"].num)
@@ -256,6 +260,7 @@ class Walk:
             if answer is GONE:
                 return GONE
             location = answer or location
+        self._also(d, path, location, out, skip)
         if d.get("Type") == "Font" and d.get("Subtype") == "Type3":
             self.tell("CONTENT", "TYPE3_FONT", location)
         if d.get("Subtype") == "Image":
@@ -285,9 +290,10 @@ class Walk:
                 if v is GONE:
                     continue
             elif k == "Metadata":
-                self.tell("METADATA", "XMP", location)
+                gone = self.tell("METADATA", "XMP", location, "metadata")
                 if self.strip_metadata:
                     self.tell("METADATA", "STRIPPED", f"{location}, XMP metadata")
+                if gone or self.strip_metadata:
                     self._pass(v)
                     continue
             elif k in TREES and kind != "names" and isinstance(v, (dict, Ref)):
@@ -323,14 +329,19 @@ class Walk:
 
     def _pictures(self, names) -> frozenset[str]:
         """Keys of the pictures held for a form; the tree counts as met only when the walk comes to it."""
-        seen, self.seen = self.seen, set()
+        met, self.met = self.met, set()
         try:
             return frozenset(text_of(k) for k, _ in self._tree(names.get("XFAImages") if isinstance(names, dict) else None))
         finally:
-            self.seen = seen
+            self.met = met
 
     def _xml_form(self, value, at: str, location: str):
         """Tell the parts of a form; the form without those to go, or GONE where it cannot be read and so goes whole."""
+        clean = self._cleaned_form(value, at, location)
+        self.form_kept = self.form_kept or clean is not GONE
+        return clean
+
+    def _cleaned_form(self, value, at: str, location: str):
         if self.tell("FORM", "XFA", location, f"{at}#whole"):
             self._pass(value)
             return GONE
@@ -377,7 +388,7 @@ class Walk:
         if packets[0][0] is None:
             return value
         if isinstance(value, Ref):
-            self.seen.add(value.num)
+            self.met.add(value.num)
         return out
 
     def _pass(self, value) -> None:
@@ -386,8 +397,8 @@ class Walk:
         while todo:
             v = todo.pop()
             if isinstance(v, Ref):
-                if v.num not in self.seen and self.roles.get(v.num) != "page":
-                    self.seen.add(v.num)
+                if v.num not in self.met and self.roles.get(v.num) != "page":
+                    self.met.add(v.num)
                     todo.append(self.pdf.get(v))
             elif isinstance(v, list):
                 todo += v
@@ -436,7 +447,7 @@ class Walk:
         if annots is not None and isinstance(listed, list):
             skip.add("Annots")
             if isinstance(annots, Ref):
-                self.seen.add(annots.num)
+                self.met.add(annots.num)
             kept = []
             for i, a in enumerate(listed):
                 where, slot = f"{location}, annotation {i + 1}", f"{path}/Annots[{i}]"
@@ -465,8 +476,16 @@ class Walk:
         if "JavaScript" in d:
             kept = []
             for k, (name, value) in enumerate(self._tree(d["JavaScript"])):
-                label = short(text_of(name) or "")
-                clean = self._slot(value, f"{path}/JavaScript[{k}]", f'document script "{label}"', "DOCUMENT", False)
+                where, slot = f'document script "{short(text_of(name) or "")}"', f"{path}/JavaScript[{k}]"
+                target = self.pdf.resolve(value)
+                if not isinstance(target, dict) or self.pdf.resolve(target.get("S")) != "JavaScript":
+                    gone = self.tell("CORRUPTED", "MALFORMED_OBJECT", where, f"{slot}#kind", "not a script")
+                    clean = self._value(value, slot, where)
+                    if gone:
+                        self._pass(value)
+                        continue
+                else:
+                    clean = self._slot(value, slot, where, "DOCUMENT", False)
                 if clean is not GONE:
                     kept.append((name, clean))
             if kept:
@@ -479,6 +498,15 @@ class Walk:
                     kept.append((name, clean))
             if kept:
                 out["EmbeddedFiles"] = {"Names": _sorted_names(kept)}
+        if "XFAImages" in d:
+            skip.add("XFAImages")
+            kept = []
+            form = self.pdf.resolve((self.pdf.resolve(self.root) or {}).get("AcroForm"))
+            for k, (name, value) in enumerate(self._tree(d["XFAImages"])):
+                if self._picture(name, value, f"{path}/XFAImages[{k}]", isinstance(form, dict) and "XFA" in form):
+                    kept.append((name, value))
+            if kept:
+                out["XFAImages"] = {"Names": _sorted_names(kept)}
         for k, where in (("AlternatePresentations", "document"), ("Renditions", "document renditions")):
             if k in d:
                 if self.tell(*TREES[k], where, f"{path}/{k}"):
@@ -487,6 +515,25 @@ class Walk:
                     out[k] = self._value(d[k], f"{path}/{k}", where)
         return "document names"
 
+    def _picture(self, name: bytes, value, slot: str, shown: bool) -> bool:
+        """Whether a picture that a form names stays."""
+        key = text_of(name) or ""
+        where, ref = f'XFA images, "{short(key)}"', self._last(value) if isinstance(value, Ref) else None
+        stream = self.pdf.resolve(value)
+        if ref is None or not isinstance(stream, Stream):
+            gone = self.tell("CORRUPTED", "MALFORMED_OBJECT", where, slot, "not a stream")
+        elif not shown:
+            gone = self.tell("FORM", "XFA_IMAGE", where, slot, "no form shows it", forced=True)
+        elif not self.pdf.can_decrypt(stream) or (plain := self.pdf.bytes_of(stream)) is None:
+            gone = self.tell("FORM", "XFA_IMAGE", where, slot, "it can't be read", forced=True)
+        else:
+            gone = self.tell("FORM", "IMAGE", where, f"file:{ref.num}", key, "", plain)
+        if gone:
+            self._pass(value)
+        else:
+            self._value(value, slot, where)
+        return not gone
+
     def _tree(self, value) -> list[tuple[bytes, object]]:
         """The entries of a name tree, whatever their keys; arrays that several nodes share are read once."""
         out, todo, seen, nodes = [], [value], set(), 0
@@ -497,7 +544,7 @@ class Walk:
                 if v.num in seen:
                     return None
                 seen.add(v.num)
-                self.seen.add(v.num)
+                self.met.add(v.num)
                 v = self.pdf.get(v)
             return v if isinstance(v, list) else None
 
@@ -512,7 +559,7 @@ class Walk:
                 if v.num in seen:
                     continue
                 seen.add(v.num)
-                self.seen.add(v.num)
+                self.met.add(v.num)
             node = self.pdf.resolve(v)
             if not isinstance(node, dict):
                 continue
@@ -532,7 +579,7 @@ class Walk:
         if isinstance(order, list):
             skip.add("CO")
             if isinstance(d["CO"], Ref):
-                self.seen.add(d["CO"].num)
+                self.met.add(d["CO"].num)
             self.orders.append((f"{path}/CO", [r.num for r in order if isinstance(r, Ref)]))
             out["CO"] = [r for r in order if isinstance(r, Ref)]
             self.ordered = out
@@ -668,10 +715,14 @@ class Walk:
 
     def _triggers(self, value, path: str, location: str, owner: str):
         if isinstance(value, Ref):
-            self.seen.add(value.num)
+            self.met.add(value.num)
         d = self.pdf.resolve(value)
         if not isinstance(d, dict):
             return GONE if d is None or self.tell("CORRUPTED", "MALFORMED_OBJECT", location, path, "not additional actions") else value
+        if isinstance(value, Ref) and self._kind(d, self.roles.get(value.num, "")) not in ("any", "triggers"):
+            if self.tell("CORRUPTED", "MALFORMED_OBJECT", location, path, "not additional actions"):
+                return GONE
+            return self._value(value, path, location)
         out = {}
         for k, v in d.items():
             trigger = TRIGGERS[owner].get(k) or (TRIGGERS["annotation"].get(k) if owner == "field" else None) or k
@@ -697,15 +748,16 @@ class Walk:
                 self.cut = True
                 return GONE
             chain |= {value.num}
-            self.seen.add(value.num)
+            self.met.add(value.num)
         d = self.pdf.resolve(value)
         kind = self.pdf.resolve(d.get("S")) if isinstance(d, dict) else None
-        if not isinstance(d, dict) or not (kind in KNOWN or d.get("Type") == "Action"):
-            known = ("ACTION", "UNKNOWN") if kind is not None else ("CORRUPTED", "MALFORMED_OBJECT")
-            if self.tell(*known, location, path, str(kind or "not an action")):
-                self._pass(value)
-                return GONE
-            return self._value(d, f"{path}!", location)
+        role = self._kind(d, self.roles.get(value.num, "") if isinstance(value, Ref) else "") if isinstance(d, dict) else ""
+        if role != "action":
+            unknown = kind is not None and kind not in KNOWN and role != "annotation"
+            gone = self.tell(*(("ACTION", "UNKNOWN") if unknown else ("CORRUPTED", "MALFORMED_OBJECT")), location, path, str(kind) if unknown else "not an action")
+            # it is walked where it has its place, whatever becomes of this reference
+            clean = self._value(value, f"{path}!", location)
+            return GONE if gone else clean
         if triggered and kind != "JavaScript":
             gone = self.tell("ACTION", "TRIGGERED", location, f"{path}!trigger", str(kind or "none"))
         else:
@@ -713,7 +765,8 @@ class Walk:
         clean = self._action(d, path, location, detail, chain, triggered)
         return GONE if gone else clean
 
-    def _action(self, d: dict, path: str, location: str, detail: str, chain=frozenset(), triggered: bool = False):
+    def _action(self, d: dict, path: str, location: str, detail: str, chain=frozenset(), triggered: bool = False, rest: bool = True):
+        """The action without what goes, or GONE; without rest only its own keys are looked at."""
         kind = self.pdf.resolve(d.get("S"))
         gone = False
         if kind in ("JavaScript", "Rendition") and ("JS" in d or kind == "JavaScript"):
@@ -742,12 +795,12 @@ class Walk:
         chained = [(f"{path}/Next[{i}]", v) for i, v in enumerate(listed)] if isinstance(listed, list) else [(f"{path}/Next", follow)] if follow is not None else []
         after = [x for at, v in chained if (x := self._slot(v, at, f"{location} (chained)", "CHAINED", triggered, frozenset(chain))) is not GONE]
         if gone:
-            self._pass({k: v for k, v in d.items() if k != "Next"})
+            self._pass({k: v for k, v in d.items() if k != "Next" and (rest or k == "JS")})
             return GONE
         if after:
             out["Next"] = after if isinstance(listed, list) else after[0]
         for k, v in d.items():
-            if k == "Next":
+            if k == "Next" or not (rest or k in ("S", "JS")):
                 continue
             if k == "JS" and kind not in ("JavaScript", "Rendition") and self.tell("JAVASCRIPT", "UNATTACHED", location, f"{path}/JS"):
                 self._pass(v)
@@ -761,6 +814,18 @@ class Walk:
                 out[k] = clean
         return out
 
+    def _also(self, d: dict, path: str, location: str, out: dict, skip: set[str]) -> None:
+        """An object of another kind that an action's keys make one as well: it runs from any slot that points at it, so
+        those keys get the rules of actions, and without them it runs no more."""
+        kind = self.pdf.resolve(d.get("S"))
+        if isinstance(d, Stream) or (d.get("Type") != "Action" and kind not in KNOWN):
+            return
+        clean = self._action(d, f"{path}!also", location, "ANNOTATION", rest=False)
+        for k in ("S", "Next", "JS") if kind in ("JavaScript", "Rendition") else ("S", "Next"):
+            skip.add(k)
+            if clean is not GONE and k in clean:
+                out[k] = clean[k]
+
     # files
 
     def _files(self, value, path: str, location: str):
@@ -817,7 +882,7 @@ class Walk:
         if isinstance(held, dict):
             skip.add("EF")
             if isinstance(d["EF"], Ref):
-                self.seen.add(d["EF"].num)
+                self.met.add(d["EF"].num)
             out["EF"] = {k: self._value(v, f"{path}/EF/{k}", location) for k, v in kept.items()}
         return location
 
@@ -873,7 +938,7 @@ class Walk:
         loose = 0
         for num in self.pdf.live():
             ref = self.pdf.trailer.get("Encrypt")
-            if num in self.seen or (isinstance(ref, Ref) and ref.num == num):
+            if num in self.seen or num in self.met or (isinstance(ref, Ref) and ref.num == num):
                 continue
             value = self.pdf.get(Ref(num, 0))
             if value is None or isinstance(value, (bool, int, float)):
@@ -897,6 +962,8 @@ class Walk:
 
     def write(self) -> bytes:
         """The document that is left: one revision, objects from 1, a classic table, nothing encrypted."""
+        if not self.form_kept:
+            self.catalog.pop("NeedsRendering", None)
         todo, number, order = deque([self.catalog]), {}, []
         values: dict[int, object] = {}
         root_num = self.root.num if isinstance(self.root, Ref) else 0

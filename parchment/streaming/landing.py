@@ -16,5 +16,6 @@ def arriving(spark: SparkSession, path: str, pattern: str = "*.pdf", each: int =
 
 
 def findings_stream(spark: SparkSession, path: str, **how) -> DataFrame:
-    """A stream of findings; every step is stateless by row, so no watermark is needed."""
-    return findings_of(read_documents(arriving(spark, path, **how)))
+    """A stream of findings; every step is stateless by row, so no watermark is needed. What hangs on a document's other
+    findings (a calculation order, a silent loss) is left to a batch."""
+    return findings_of(read_documents(arriving(spark, path, **how))).drop("body").where("not (category = 'FORM' and detail = 'ORDER' or category = 'PROCESSING' and detail = 'LOST')")

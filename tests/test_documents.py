@@ -47,7 +47,7 @@ def test_formulas_and_second_streams_do_not_survive(spark):
     (s1, o1, f1), (s2, o2, f2), (s3, o3, f3), (s4, o4, f4) = run(spark, formula, two, renamed, both)
     assert s1 == "defused" and attached(o1) == {("a.csv", b"'=cmd|x,2\n")} and b"=cmd" not in o1.replace(b"'=cmd", b"")
     assert ("EMBEDDED_FILE", "PLUGIN_SCRUBBED", "info") in f1
-    assert s2 == "defused" and not attached(o2) and b"MZ program" not in o2 and ("EMBEDDED_FILE", "NO_PLUGIN", "strip") not in f2[:0]
+    assert s2 == "defused" and not attached(o2) and b"MZ program" not in o2 and ("EMBEDDED_FILE", "PLUGIN_REMOVED", "strip") in f2
     assert s3 == "defused" and not attached(o3) and ("EMBEDDED_FILE", "NO_PLUGIN", "strip") in f3
     assert s4 == "clean" and attached(o4) == {("a.json", b"{}")}
 
@@ -220,12 +220,11 @@ def test_80_000_unterminated_streams_take_seconds():
 
 
 def test_headers_in_streams_and_comments_are_no_objects():
-    hidden = one_page(content=b"BT ET").put
     made = one_page()
     made.put(5, ("", b"7 0 obj << /Type /Catalog >> endobj"))
     data = made.build(startxref=3).replace(b"%PDF-1.7\n", b"%PDF-1.7\n% 9 0 obj << /S /JavaScript /JS (1) >>\n")
     r = inspect(data)
-    assert hidden and kinds(r) == [("CORRUPTED", "XREF_REBUILT")] and Pdf(data).live() == [1, 2, 5, 10]
+    assert kinds(r) == [("CORRUPTED", "XREF_REBUILT")] and Pdf(data).live() == [1, 2, 5, 10]
 
 
 def test_ranges():
@@ -266,6 +265,54 @@ def test_long_chains_and_trees_are_told_and_reject(monkeypatch):
     assert r.incomplete and "too many nodes" in [i.value for i in r.items]
 
 
+def test_objects_that_are_also_actions():
+    page = one_page("/OpenAction 10 0 R", page="/S /Launch /F (calc.exe)").build()
+    first = inspect(page)
+    assert kinds(first) == [("CORRUPTED", "MALFORMED_OBJECT"), ("ACTION", "LAUNCH")] and first.pages == 1
+    out = inspect(page, remove=frozenset(i.slot for i in first.items if i.slot)).output
+    assert b"/Launch" not in out and inspect(out).pages == 1 and not inspect(out).items
+    annot = one_page(annots=["<< /Type /Annot /Subtype /Text /Rect [0 0 9 9] /S /JavaScript /JS (1) >>"]).build()
+    assert kinds(inspect(annot)) == [("JAVASCRIPT", "ANNOTATION")]
+    assert b"/JS" not in inspect(annot, remove=frozenset(i.slot for i in inspect(annot).items)).output
+
+
+def test_what_removed_things_share_with_kept_ones_stays():
+    shared = "<< /Type /XObject /Subtype /Form /BBox [0 0 1 1] /Mark (shared) >>"
+    data = one_page(page="/Resources << /XObject << /X 101 0 R >> >> /Annots [100 0 R]", objects=["<< /Type /Annot /Subtype /Movie /Rect [0 0 9 9] /AP << /N 101 0 R >> >>", shared]).build()
+    out = inspect(data, remove=frozenset(["obj:100"])).output
+    assert b"/Movie" not in out and b"<736861726564>" in out
+    action = one_page("/OpenAction 100 0 R /Odd [100 0 R]", objects=["<< /S /GoTo /D [10 0 R /Fit] >>"]).build()
+    assert not inspect(action, remove=frozenset()).output.count(b"null")
+
+
+def test_only_scripts_belong_among_document_scripts():
+    data = one_page("/Names << /JavaScript << /Names [(a) << /S /GoTo /D [10 0 R /Fit] >> (b) 7] >> >>").build()
+    r = inspect(data)
+    assert [i.value for i in r.items] == ["not a script"] * 2
+    assert b"/JavaScript" not in inspect(data, remove=frozenset(i.slot for i in r.items)).output
+
+
+def test_pictures_that_forms_name():
+    form = "/AcroForm << /Fields [] /XFA [(a) 100 0 R] >> /NeedsRendering true "
+    objects = [("", b"<xdp><template><field><image href='p'/></field></template></xdp>"), ("", b"picture")]
+    named = "/Names << /XFAImages << /Names [(p) 101 0 R (q) 7] >> >>"
+    r = inspect(one_page(form + named, objects=objects).build(), remove=frozenset())
+    assert [(i.detail, i.value, i.content) for i in r.items if i.detail in ("IMAGE", "MALFORMED_OBJECT")] == [("MALFORMED_OBJECT", "not a stream", None), ("IMAGE", "p", b"picture")][::-1]
+    assert b"/NeedsRendering" in r.output and b"picture" in r.output
+    gone = inspect(one_page(form + named, objects=objects).build(), remove=frozenset(["file:101"])).output
+    assert b"picture" not in gone
+    bare = inspect(one_page(named + " /NeedsRendering true", objects=["7", ("", b"picture")]).build(), remove=frozenset())
+    assert [(i.detail, i.forced) for i in bare.items if i.category == "FORM"] == [("XFA_IMAGE", True)] and b"/NeedsRendering" not in bare.output
+
+
+def test_metadata_goes_where_an_override_says_so():
+    data = one_page("/Metadata 100 0 R", objects=[("/Type /Metadata /Subtype /XML", b"<x/>")], info="/Title (t)").build(trailer="/Info 6 0 R")
+    r = inspect(data)
+    assert kinds(r) == [("METADATA", "INFO_DICTIONARY"), ("METADATA", "XMP")]
+    out = inspect(data, remove=frozenset(i.slot for i in r.items)).output
+    assert b"<x/>" not in out and b"/Info" not in out and not inspect(out).items
+
+
 def test_limits_of_time_and_size():
     data = one_page().build()
     assert kinds(inspect(data, limits=Limits(seconds=0))) == [("LIMIT", "TIME")]
