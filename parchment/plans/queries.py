@@ -175,17 +175,21 @@ def sniff_pages(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", sniffing.sniff_type(F.col("html").cast("binary")).alias("sniffed"))
 
 
+#: Openings (in hex) before each document's text, and what content of that opening is.
 MAGIC = [
-    ("6a756e6b255044462d312e37", "application/pdf"), ("504b0304", "application/zip"), ("89504e470d0a1a0a", "image/png"), ("ffd8ffe0", "image/jpeg"), ("474946383961", "image/gif"),
-    ("d0cf11e0a1b11ae1", "application/x-ole-storage"), ("4d5a9000", "application/x-msdownload"), ("7f454c46", "application/x-executable"), ("efbbbf3c73766720", "image/svg+xml"),
-    ("3c3f786d6c3f3e3c737667203e", "image/svg+xml"), ("3c3f786d6c3f3e3c613e", "application/xml"), ("203c68746d6c3e", "text/html"), ("706c61696e", None), ("", None), ("504b0102", None),
+    ("6a756e6b255044462d312e37", "application/pdf"), ("504b0304", "application/zip"), ("504b0102", None), ("89504e470d0a1a0a", "image/png"), ("ffd8ffe0", "image/jpeg"), ("474946383961", "image/gif"),
+    ("d0cf11e0a1b11ae1", "application/x-ole-storage"), ("4d5a9000", "application/x-msdownload"), ("7f454c46", "application/x-executable"), ("efbbbf3c73766720", "image/svg+xml"), ("3c3f786d6c3f3e3c613e", "application/xml"), ("203c68746d6c3e", "text/html"), ("", None),
 ]
 
 
-@query(f"SELECT doc_id, {pick_sql([m for _, m in MAGIC], 'doc_id')} AS sniffed FROM documents")
+@query(f"""WITH m AS (SELECT doc_id, coalesce(text, '') AS text, {pick_sql([h for h, _ in MAGIC], 'doc_id')} AS opening FROM documents), c AS (SELECT doc_id, lower(opening || hex(encode(text[1:1000]))) AS h FROM m)
+    SELECT doc_id, CASE WHEN contains(h[1:2048], '255044462d') THEN 'application/pdf' WHEN regexp_matches(h, '^504b0[357]0[468]') THEN 'application/zip' WHEN starts_with(h, '89504e47') THEN 'image/png' WHEN starts_with(h, 'ffd8ff') THEN 'image/jpeg'
+    WHEN regexp_matches(h, '^4749463[8]3[79]61') THEN 'image/gif' WHEN starts_with(h, 'd0cf11e0') THEN 'application/x-ole-storage' WHEN starts_with(h, '4d5a') THEN 'application/x-msdownload' WHEN starts_with(h, '7f454c46') THEN 'application/x-executable'
+    WHEN regexp_matches(h, '^(efbbbf)?3c737667') THEN 'image/svg+xml' WHEN starts_with(h, '3c3f786d6c') THEN 'application/xml' WHEN regexp_matches(h, '^(20)*3c68746d6c') THEN 'text/html' END AS sniffed FROM c""")
 def sniff_magic(spark, sf):
-    head = F.unhex(pick([h for h, _ in MAGIC], F.col("doc_id")))
-    return read_table(spark, sf, "documents").select("doc_id", sniffing.sniff_type(head).alias("sniffed"))
+    docs = read_table(spark, sf, "documents")
+    content = F.concat(F.unhex(pick([h for h, _ in MAGIC], F.col("doc_id"))), F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    return docs.select("doc_id", sniffing.sniff_type(content).alias("sniffed"))
 
 
 TYPES = [
@@ -201,12 +205,14 @@ def type_mismatch(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", sniffing.types_disagree(declared, name, sniffed).alias("disagree"))
 
 
-NAMES = [("a.PDF", "pdf"), ("page.html. .", "html"), ("archive.tar.gz", "gz"), ("noext", None), (".", None), ("a.b/c", None), ("a.b\\c", None), ("dir.d/x.csv", "csv"), ("trailing...", None), (".hidden", "hidden")]
+#: What stands behind the name of a file.
+ENDINGS = [".PDF", ".tar.gz", "", ".html. .", "...", ".b/c", ".d/x.csv", ".b\\c", " .x", "."]
 
 
-@query(f"SELECT doc_id, {pick_sql([e for _, e in NAMES], 'doc_id')} AS ext FROM documents")
+@query(f"""WITH n AS (SELECT doc_id, rtrim(source || {pick_sql(ENDINGS, 'doc_id')}, '. ') AS name FROM documents), l AS (SELECT doc_id, name, list_last(string_split(name, '.')) AS last FROM n)
+    SELECT doc_id, CASE WHEN contains(name, '.') AND NOT contains(last, '/') AND NOT contains(last, chr(92)) THEN lower(last) END AS ext FROM l""")
 def extension_of(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", sniffing.extension_of(pick([n for n, _ in NAMES], F.col("doc_id"))).alias("ext"))
+    return read_table(spark, sf, "documents").select("doc_id", sniffing.extension_of(F.concat("source", pick(ENDINGS, F.col("doc_id")))).alias("ext"))
 
 
 @query("SELECT event_id, json_valid(props) AS valid FROM events")
@@ -650,9 +656,13 @@ def combination_bonus(spark, sf):
     return policy.bonuses(held.select("doc_id", "k.category", "k.detail"))
 
 
-_SIZES = [("10mb", 10 << 20), ("1.5k", 1536), ("7", 7), ("2G", 2 << 30), ("x", None), ("1.5.2k", None), (" 3 KB ", 3072)]
+#: Units behind a number, and the power of 1024 that each is; null for none.
+UNITS = [("", 0), ("b", 0), ("k", 1), (" KB ", 1), (".5m", 2), ("mb", 2), ("G", 3), ("x", None), (".5.2k", None)]
 
 
-@query(f"SELECT doc_id, CAST({pick_sql([n for _, n in _SIZES], 'doc_id')} AS BIGINT) AS bytes FROM documents")
+@query(f"""WITH u AS (SELECT doc_id, CAST(doc_id % 1000 AS VARCHAR) || {pick_sql([u for u, _ in UNITS], 'doc_id')} AS t FROM documents),
+    p AS (SELECT doc_id, regexp_extract(t, '^([0-9]+([.][0-9]+)?) *([kKmMgG]?)[bB]? *$', ['number', 'part', 'unit']) AS m FROM u)
+    SELECT doc_id, CASE WHEN m.number <> '' THEN CAST(floor(TRY_CAST(m.number AS DOUBLE) * CASE lower(m.unit) WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 ELSE 1 END) AS BIGINT) END AS bytes FROM p""")
 def size_option(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", files.size_in_bytes(pick([t for t, _ in _SIZES], F.col("doc_id"))).alias("bytes"))
+    text = F.concat((F.col("doc_id") % 1000).cast("string"), pick([u for u, _ in UNITS], F.col("doc_id")))
+    return read_table(spark, sf, "documents").select("doc_id", files.size_in_bytes(text).alias("bytes"))
