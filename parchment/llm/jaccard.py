@@ -449,9 +449,13 @@ def _linked(docs: DataFrame, words: int, threshold: float, runs: int, depth: int
     if not (split := found.where("many")).isEmpty():  # links of groups over several blocks are joined once more
         joined = components(split.select(F.col("set_key").alias("a"), F.col("root").alias("b")), "classes")
         links = links.join(joined.select(F.col("node").alias("set_key"), F.col("root").alias("wider")), "set_key", "left").select("set_key", "links", F.coalesce("wider", "root").alias("root"))
-    classes = first.select("set_key", F.col("doc_id").alias("set_id"), "copies").join(links.hint("merge"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    heads = classes.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    classes = classes.join(heads.hint("merge"), "root").select("set_key", "root", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    sets = first.select("set_key", F.col("doc_id").alias("set_id"), "copies")
+    # only sets of groups have heads to look for; both sides are written, so that a large class can be split
+    linked = written(links.join(sets.hint("merge"), "set_key"), "linked")
+    heads = written(linked.groupBy("root").agg(F.min("set_id").alias("class_id")), "heads")
+    linked = linked.join(heads.hint("merge"), "root").select("set_key", "root", "class_id", "links")
+    classes = sets.join(linked.hint("merge"), "set_key", "left")
+    classes = classes.select("set_key", F.coalesce("root", "set_key").alias("root"), "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes.hint("merge"), "set_key", "left")
     return out.select("doc_id", "fp", "set_key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
