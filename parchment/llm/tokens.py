@@ -51,6 +51,9 @@ class ChunkEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        vocabulary = self.lib.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True  # how these vocabularies write a space
         self.capacity, self.longest = capacity, longest
         self.known: dict[str, bytes] = {}
 
@@ -58,13 +61,13 @@ class ChunkEncoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ask_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters alone, each after a space: many in one text, cut where the library's pieces end."""
+        """The ids of words of letters alone, each after a space: many in one text, cut where a token opens with a space."""
         out: list[bytes] = []
         for at in range(0, len(words), 2000):
-            found = self.lib.encode(" " + " ".join(words[at : at + 2000]), add_special_tokens=False)
-            raw = np.asarray(found.ids, dtype="<u4").tobytes()
-            cut = [*np.flatnonzero(np.diff(np.asarray(found.word_ids), prepend=-1)).tolist(), len(raw) // 4]
-            out += [raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])]
+            some = words[at : at + 2000]
+            raw = self._ask([" " + " ".join(some)])[0]
+            cut = (4 * np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])).tolist() + [len(raw)]
+            out += [raw[x:y] for x, y in zip(cut, cut[1:])] if len(cut) == len(some) + 1 else self._ask([f" {x}" for x in some])
         return out
 
     def _learn(self, chunks: list[str]) -> None:
@@ -90,7 +93,7 @@ class ChunkEncoder:
             del chunks[0]
             parts.append(chunks)
             new.update(chunks)
-        fresh = [x for x in new if x not in known]
+        fresh = list(new.difference(known))
         self._learn(fresh)
         whole = iter(self._ask([t for t, p in zip(texts, parts) if p is None]))
         get = known.__getitem__
