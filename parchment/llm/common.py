@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
+import sys
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -83,6 +86,28 @@ def sampled(rows: DataFrame, share: Column) -> DataFrame:
     return rows.where(part).withColumn("fp", F.xxhash64("text")).groupBy("fp", *other).agg(F.first("text").alias("text"))
 
 
+#: What operators remember in a Python worker, by their names.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Register how to forget what an operator holds in this process beyond a task."""
+    _remembered[operator] = forget
+
+
+def at_work(operator: str = "") -> None:
+    """Called in a worker for each batch: what other operators remember goes. Workers are reused by the next stage, so
+    without this its memory would come on top."""
+    others = [n for n in _remembered if n != operator]
+    for name in others:
+        _remembered.pop(name)()
+    if others and sys.platform == "linux":  # hand free memory back to the system, where the C library can
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

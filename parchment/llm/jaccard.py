@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import components, known_id, passing, pieces, prepare, spent, with_known_id, written
+from parchment.llm.common import at_work, components, known_id, passing, pieces, prepare, spent, with_known_id, written
 
 WORDS, THRESHOLD, RUNS, DEPTH = 5, 0.8, 10, 3
 #: The share of links the search finds at least, for pairs at the threshold and whatever is split.
@@ -171,6 +171,7 @@ def _signed(docs: DataFrame, words: int, runs: int, threshold: float) -> DataFra
     """(doc_id, fp, set_key, size, chars, sketch, keys) of (doc_id, fp, text): the set and its first picks in each run."""
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_work()
         for batch in pieces(batches):
             rows: list[tuple] = []
             for text in batch["text"]:
@@ -190,6 +191,7 @@ def _paths(docs: DataFrame, words: int, runs: int, depth: int, threshold: float)
     """(set_key, level, parent, key): the nodes that the sets of docs (text) pick in all runs, a row each."""
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_work()
         for batch in pieces(batches, rows=50):
             found: tuple[list, list, list, list] = ([], [], [], [])
             for text in batch["text"]:
@@ -246,6 +248,7 @@ def _bucket_edges(buckets: DataFrame, threshold: float) -> DataFrame:
     """Brute force on sketches in each bucket (arrays of keys, sizes and sketches): a star for each likeness."""
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_work()
         for batch in batches:
             a, b = [], []
             for keys, sizes, sketches in zip(batch["keys"], batch["sizes"], batch["sketches"]):
@@ -312,6 +315,7 @@ def _exact(groups: DataFrame, words: int, threshold: float) -> DataFrame:
     its links in the block lead to."""
 
     def check(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_work()
         for batch in batches:
             out: list[tuple] = []
             for i, j, many, members in zip(batch["i"], batch["j"], batch["many"], batch["members"]):

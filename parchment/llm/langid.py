@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import prepare, sampled
+from parchment.llm.common import at_work, prepare, sampled
 
 #: Texts that a model learns from, dealt evenly to the languages, and their bytes; the longest text among them (longer
 #: ones are judged like all others, but teach nothing); share of a second-best loss below which a decision is ambiguous.
@@ -129,6 +129,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
+        at_work()
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score", "ambiguous"])
 
     found = docs.select("doc_id", held_out().alias("held_out"), judge(F.col("text").cast("string")).alias("found"))

@@ -43,7 +43,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
 
         number = TaskContext.get().partitionId() << 33
         coder = encoder(path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, rows=100):
             cols: list[list] = [[] for _ in names]
             for doc_id, known, ids in zip(batch["doc_id"].tolist(), batch["known"].tolist(), coder.encode([x or "" for x in batch["text"]])):
                 ids, at = memoryview(ids + b"\0\0\0\0"), 0

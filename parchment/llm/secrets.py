@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import prepare
+from parchment.llm.common import at_work, prepare
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -333,6 +333,7 @@ def spans_of(text: Column, scanner: Scanner | None = None) -> Column:
 
     @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def spans(texts: pd.Series) -> pd.Series:
+        at_work()
         return pd.Series([[{"kind": k, "start": a, "end": b} for a, b, k in held.scan(t)] for t in texts])
 
     return spans(text)
@@ -356,6 +357,7 @@ def redact_secrets(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame
 
     @F.pandas_udf("string")
     def redacted(texts: pd.Series) -> pd.Series:
+        at_work()
         return pd.Series([held.redact(t) for t in texts], dtype=object)
 
     out = docs.withColumn("text", redacted(F.col("text").cast("string")))

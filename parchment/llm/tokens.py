@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import known_id, pieces, prepare, scratch_path, shuffle_width, with_known_id
+from parchment.llm.common import at_work, known_id, pieces, prepare, remembers, scratch_path, shuffle_width, with_known_id
 
 #: Ids in a frame, text bytes that a shard is dealt (more shards where the cluster has more tasks), ids that a reading task takes.
 FRAME_IDS, SHARD_BYTES, READ_IDS = 1 << 16, 512 << 20, 1 << 24
@@ -46,7 +46,7 @@ class ChunkEncoder:
     #: Marks behind a letter or digit: a piece of their own begins there, which \x01 stands before.
     marks = re.compile(r"([^\W_])([.,;:!?*#$%&|])")
 
-    def __init__(self, path: str, capacity: int = 700_000, longest: int = 64):
+    def __init__(self, path: str, capacity: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -108,7 +108,9 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each Python worker and vocabulary file."""
+    """One encoder for each Python worker and vocabulary file, as long as no other operator is at work in it."""
+    at_work("tokens")
+    remembers("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
@@ -241,7 +243,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, s
         part, writer, name, sink = task.partitionId(), None, "", None
         store, base = _store(out)
         coder = encoder(path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, rows=100):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 name = f"{base}/shard-{part:06d}.zst"

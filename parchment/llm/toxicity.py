@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import prepare, sampled
+from parchment.llm.common import at_work, prepare, sampled
 
 #: Labelled documents that a model learns from, and the bytes of their texts; the longest text among them (longer ones
 #: are scored like all others, but teach nothing).
@@ -261,6 +261,7 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_R
 def toxicity_of(text: Column, model: ToxicityModel) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        at_work()
         return pd.Series(model.predict([None if t is None else t for t in texts]))
 
     return score(text.cast("string"))
