@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,50 +21,75 @@ from parchment.functions.links import let
 from parchment.operators import plugins as plug
 from parchment.operators import policy
 from parchment.operators.plugins import FilePlugin, ScriptPlugin
-from parchment.session import ensure_checkpoint_dir, prepare
+from parchment.session import ensure_checkpoint_dir, prepare, stored
 from parchment.sources.pdf.inspect import Limits, Report, inspect
+from parchment.sources.pdf.walk import Item
 
-ITEM = "ordinal int, category string, detail string, location string, slot string, value string, label string, content binary, other string, forced boolean"
+ITEM = "ordinal int, category string, detail string, location string, slot string, value string, label string, content binary, other string, forced boolean, nth int"
 ITEMS = f"array<struct<{', '.join(':'.join(x.split()) for x in ITEM.split(', '))}>>"
-SCHEMA = f"doc_id {{id}}, version string, pages int, incomplete boolean, lengths array<bigint>, signed boolean, items {ITEMS}"
+SCHEMA = f"doc_id {{id}}, version string, pages int, incomplete boolean, lengths array<bigint>, signed boolean, alone boolean, items {ITEMS}"
 WRITTEN = ", output binary, after_version string, after_pages int, after_incomplete boolean, after_lengths array<bigint>, after_items " + ITEMS
 #: Documents that the kernel holds at a time, small sides that are broadcast (bytes), levels of documents in documents.
 BATCH, BROADCAST_BYTES, DEEPEST = 16, 64 << 20, 64
 
 
+#: Kinds of items that are decided outside, or hang on other findings.
+OPEN = frozenset((("LINK", ""), ("LINK", "LABEL"), ("EMBEDDED_FILE", ""), ("EMBEDDED_FILE", "NAME"), ("FORM", ""), ("FORM", "IMAGE"), ("FORM", "ORDER"), ("PROCESSING", "LOST")))
+_FIELDS = [("ordinal", pa.int32()), *[(k, pa.string()) for k in Item._fields[1:7]], ("content", pa.binary()), ("other", pa.string()), ("forced", pa.bool_()), ("nth", pa.int32())]
+
+
 def _text() -> Column:
     return F.lit(None).cast("string")
 
 
-def _told(r: Report) -> tuple:
-    return r.version, r.pages, r.incomplete, r.lengths, r.signed, [i._asdict() for i in r.items]
+def _listed(reports: Sequence[Report]) -> tuple[pa.Array, pa.Array]:
+    """The items of each report, field by field with their place among those of their kind; and which reports are alone."""
+    ends, nths, alone = [0], [], []
+    for r in reports:
+        seen: dict[tuple[str, str], int] = {}
+        for i in r.items:
+            kind = i[1:3]
+            seen[kind] = n = seen.get(kind, 0) + 1
+            nths.append(n)
+        ends.append(len(nths))
+        alone.append(OPEN.isdisjoint(seen))
+    columns = [*([*zip(*(i for r in reports for i in r.items))] or [()] * len(Item._fields)), nths]
+    items = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)], [k for k, _ in _FIELDS])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items), pa.array(alone, pa.bool_())
 
 
 def _run(docs: DataFrame, write: bool, passwords: list[str] | None, limits: Limits, strip_metadata: bool) -> DataFrame:
     """The kernel over (doc_id, content), or with write over (doc_id, content, slots, bodies), whose copies it inspects."""
     prepare(docs.sparkSession)
-    names = ["doc_id", *[x.split()[0] for x in (SCHEMA + WRITTEN * write).split(", ")[1:] if ":" not in x.split()[0]]]
+    names = [x.split()[0] for x in (SCHEMA + WRITTEN * write).split(", ") if ":" not in x.split()[0]]
+
+    def told(reports: list[Report]) -> list[pa.Array]:
+        one = lambda name, t: pa.array([getattr(r, name) for r in reports], t)
+        return [one("version", pa.string()), one("pages", pa.int32()), one("incomplete", pa.bool_()), one("lengths", pa.list_(pa.int64()))]
 
-    def kernel(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                out = []
-                for row in batch.iloc[at : at + BATCH].itertuples(index=False):
-                    slots = frozenset(row.slots) if write else None
-                    r = inspect(row.content, passwords, limits, slots, strip_metadata, {b["slot"]: bytes(b["body"]) for b in row.bodies} if write else None)
-                    found = (row.doc_id, *_told(r))
-                    if write:
-                        again = inspect(r.output, None, Limits(decompressed=limits.decompressed, seconds=limits.seconds)) if r.output is not None else Report("", 0, True, [], [], False, None)
-                        found += (r.output, again.version, again.pages, again.incomplete, again.lengths, _told(again)[5])
-                    out.append(found)
-                yield pd.DataFrame(out, columns=names)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                content = part["content"].to_pylist()
+                slots = part["slots"].to_pylist() if write else [None] * len(content)
+                bodies = part["bodies"].to_pylist() if write else [None] * len(content)
+                first = [inspect(c, passwords, limits, None if s is None else frozenset(s), strip_metadata, None if b is None else {x["slot"]: x["body"] for x in b}) for c, s, b in zip(content, slots, bodies)]
+                items, alone = _listed(first)
+                out = [part["doc_id"], *told(first), pa.array([r.signed for r in first], pa.bool_()), alone, items]
+                if write:
+                    again = [inspect(r.output, None, Limits(decompressed=limits.decompressed, seconds=limits.seconds)) if r.output is not None else Report("", 0, True, [], [], False, None) for r in first]
+                    out += [pa.array([r.output for r in first], pa.binary()), *told(again), _listed(again)[0]]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     columns = ["doc_id", "content", *(["slots", "bodies"] if write else [])]
-    return docs.select(*columns).mapInPandas(kernel, (SCHEMA + WRITTEN * write).format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return docs.select(*columns).mapInArrow(kernel, (SCHEMA + WRITTEN * write).format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def read_documents(docs: DataFrame, passwords: list[str] | None = None, limits: Limits = Limits(), strip_metadata: bool = False) -> DataFrame:
-    """doc_id, version, pages, incomplete, lengths, signed, items for each row of docs (doc_id, content)."""
+    """doc_id, version, pages, incomplete, lengths, signed, alone, items for each row of docs (doc_id, content).
+
+    alone: none of the items is decided outside. nth of an item: its place among those of its kind in the document."""
     return _run(docs, False, passwords, limits, strip_metadata)
 
 
@@ -170,6 +195,19 @@ def findings_of(read: DataFrame, base: str | None = None, files: Sequence[FilePl
     return rows.select("doc_id", "ordinal", "value", F.col("content").alias("__content"), F.explode(out).alias("t")).select("doc_id", "ordinal", "t.category", "t.detail", "t.location", "t.slot", "value", "t.host", "t.plugin", "t.action", "t.weight", "t.attachment", "t.body", "t.forced", F.when(F.col("t.detail").isin("PLUGIN_PASSED", "PLUGIN_SCRUBBED"), F.md5(F.coalesce("t.body", "__content"))).alias("md5"))
 
 
+def _findings_alone(read: DataFrame) -> DataFrame:
+    """findings_of for documents whose items are findings as they stand; with nth, their place among those of a kind."""
+    none = {"host": _text(), "plugin": F.lit(False), "action": _text(), "weight": F.lit(None).cast("int"), "attachment": _text(), "body": F.lit(None).cast("binary"), "md5": _text()}
+    rows = read.select("doc_id", F.explode("items").alias("i"))
+    own = [F.col(f"i.{k}").alias(k) for k in ("ordinal", "category", "detail", "location", "slot", "value", "forced")]
+    return rows.select("doc_id", *own, *[v.alias(k) for k, v in none.items()], F.coalesce("i.nth", F.lit(0)).alias("nth"))
+
+
+def _acted(findings: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    acted = policy.with_actions(findings, overrides)
+    return acted.withColumn("action", F.when(F.col("forced") & (F.col("action") == "info"), "strip").otherwise(F.col("action")))
+
+
 def _settled(df: DataFrame) -> DataFrame:
     """Checkpointed: the kernel runs once for all that is asked of its rows, and once only if an executor is lost."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -179,8 +217,7 @@ def _settled(df: DataFrame) -> DataFrame:
 def _resolved(findings: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """findings_of's rows with actions, and those that hang on others: a link inside what goes is not a kept one, a
     calculation order goes with the last of its scripts, and a loss counts that nothing else tells of."""
-    acted = policy.with_actions(findings, overrides)
-    acted = _settled(acted.withColumn("action", F.when(F.col("forced") & (F.col("action") == "info"), "strip").otherwise(F.col("action"))))
+    acted = _settled(_acted(findings, overrides))
     root = F.regexp_extract("slot", r"^[^/\[#!]*", 0)
     gone = acted.where("action = 'strip' and slot <> ''").select("doc_id", "slot").distinct()
     above = gone.select("doc_id", root.alias("root"), F.regexp_replace("slot", "(#label|!trigger|!media)$", "").alias("above"))
@@ -232,9 +269,13 @@ def _deep(nested: DataFrame | None) -> DataFrame | None:
 
 def _inspected(docs: DataFrame, overrides, weights, files, scripts, base, how: dict, depth: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """(read, findings, inspections, documents that hold one too deep)."""
-    read = _settled(read_documents(docs, **{k: v for k, v in how.items() if k in ("passwords", "limits", "strip_metadata")}))
+    read = stored(read_documents(docs, **{k: v for k, v in how.items() if k in ("passwords", "limits", "strip_metadata")}))
+    # documents alone have a plan without joins, plugins and shuffles; scripts are asked about wherever they are
+    open_ones, alone = (read, None) if scripts else (read.where("not alone"), read.where("alone"))
     nested = _nested(read, files, how | {"overrides": overrides, "weights": weights, "scripts": scripts, "base": base}, depth)
-    findings = _resolved(findings_of(read, base, files, scripts, None, nested, depth), overrides)
+    findings = _resolved(findings_of(open_ones, base, files, scripts, None, nested, depth), overrides)
+    if alone is not None:
+        findings = findings.unionByName(_acted(_findings_alone(alone), overrides), allowMissingColumns=True)
     deep = _deep(nested)
     if deep is not None:
         limit = deep.select("doc_id", F.lit(1 << 30).alias("ordinal"), F.lit("LIMIT").alias("category"), F.lit("NESTING_DEPTH").alias("detail"), F.lit("").alias("location"), F.lit("").alias("slot"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parchment.functions import datafiles, links, sniffing
 from parchment.operators import documents, graph, plugins, policy
 from parchment.plans.spec import finding_rows, finding_spec
-from parchment.session import prepare
+from parchment.session import bounded_batches, prepare
 from parchment.sources import files
 from parchment.sources.files import read_table
 from parchment.sources.pdf import builder
@@ -26,6 +26,7 @@ def query(sql: str | None = None):
     def put(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
+            bounded_batches(spark)
             return f(spark, sf_dir)
 
         _found[f.__name__] = run
@@ -399,6 +400,8 @@ FEATURES: list[tuple[str, list[tuple[str, str]], dict]] = [
     ("portfolio", [("EMBEDDED_FILE", "PORTFOLIO")], {"catalog": "/Collection << /View /D >>"}),
     ("field", [("FORM", "FIELDS"), ("JAVASCRIPT", "FIELD")], {"catalog": "/AcroForm << /Fields [100 0 R] >>", "objects": ["<< /FT /Tx /T (a) /AA << /C << /S /JavaScript /JS (6) >> >> >>"]}),
 ]
+#: Documents that are built at a time.
+BUILT = 256
 DAMAGES = ["none", "startxref", "header", "leading", "trailing", "length", "update", "stream", "rc4", "locked"]
 
 
@@ -407,7 +410,9 @@ def synthesised(spark: SparkSession, sf: str, make: Callable[[int, str], bytes])
 
     def build(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [make(int(k), t or "") for k, t in zip(batch["doc_id"], batch["text"])]})
+            for at in range(0, len(batch), BUILT):
+                some = batch.iloc[at : at + BUILT]
+                yield pd.DataFrame({"doc_id": some["doc_id"], "content": [make(int(k), t or "") for k, t in zip(some["doc_id"], some["text"])]})
 
     return read_table(spark, sf, "documents").select("doc_id", "text").mapInPandas(build, "doc_id long, content binary")
 

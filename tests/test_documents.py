@@ -10,7 +10,7 @@ from parchment.operators import documents, plugins, policy
 from parchment.operators.plugins import DEFAULT, PDF, FilePlugin, ScriptPlugin, pass_through
 from parchment.sources.pdf import walk as walking
 from parchment.sources.pdf.builder import link, one_page, updated
-from parchment.sources.pdf.document import Intervals, Pdf, overlap
+from parchment.sources.pdf.document import Intervals, Pdf, _header, heads, overlap
 from parchment.sources.pdf.inspect import Limits, inspect
 
 FILES = "/Names << /EmbeddedFiles << /Names [{}] >> >>"
@@ -192,9 +192,43 @@ def test_a_hot_document_is_ranked_in_parts(spark):
     assert [(r["count"], r.action, r.ordinal) for r in got if r["count"]] == [(9800, "reject", 200)]
 
 
+def test_findings_of_documents_alone_are_capped_without_ranking(spark):
+    many = [link("<< /S /Launch >>")] * 203
+    docs = frame(spark, one_page(annots=many).build(), one_page(annots=[*many, link("<< /S /URI /URI (https://example.com/) >>")]).build())
+    _, findings, _, _ = documents._inspected(docs, None, None, DEFAULT, (), None, {}, 0)
+    placed = findings.groupBy("doc_id").agg(F.count("nth").alias("n"), F.max("nth").alias("last")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in placed] == [(0, 203, 203), (1, 0, None)]
+    assert "Window" not in policy.capped(findings.where("nth is not null"))._jdf.queryExecution().optimizedPlan().toString()
+    told = {0: [], 1: []}
+    for r in policy.reported(findings).where("detail = 'LAUNCH'").orderBy("ordinal").collect():
+        told[r.doc_id].append((r.ordinal, r.action, r.location, r.slot, r["count"]))
+    assert told[0] == told[1]
+    assert told[0][:200] == [(k, "strip", f"page 1, annotation {k + 1}", f"obj:10/Annots[{k}]/A", None) for k in range(200)]
+    assert told[0][200:] == [(200, "strip", "additional occurrences", None, 3)]
+
+
 # the kernel alone
 
 
+def test_equal_annotations_are_walked_once_and_told_for_each_place(monkeypatch):
+    one, seen = walking.Walk._annotation, []
+    monkeypatch.setattr(walking.Walk, "_annotation", lambda self, d, *rest: seen.append(d) or one(self, d, *rest))
+    follow = "<< /S /Launch /Next << /S /GoToR /F /x >> >>"
+    equal, other = inspect(one_page(annots=[link(follow)] * 90).build()), inspect(one_page(annots=[link(follow, f"[0 0 {k} 1]") for k in range(90)]).build())
+    assert len(seen) == 1 + 90
+    assert equal.items == other.items and len(equal.items) == 180
+    held = [(i.detail, i.location, i.slot) for i in inspect(one_page(annots=["<< /Type /Annot /Subtype /Text /Rect [0 0 9 9] /Metadata << >> /JS /x >>"] * 2).build()).items]
+    assert held == [("XMP", "page 1, annotation 1", "metadata"), *[("UNATTACHED", f"page 1, annotation {k}", f"obj:10/Annots[{k - 1}]/JS") for k in (1, 2)]]
+    gone = frozenset(f"obj:10/Annots[{k}]/A" for k in range(0, 90, 2))
+    left = inspect(inspect(one_page(annots=[link(follow)] * 90).build(), remove=gone).output)
+    assert [i.location for i in left.items if i.detail == "LAUNCH"] == [f"page 1, annotation {k + 1}" for k in range(1, 90, 2)]
+
+
+def test_object_headers_are_found_by_their_last_word():
+    for data in (b"1 0 obj", b"1 0 objobj 2  0\nobj endobj 123456789012 0 obj", b"1 123456 obj 7 0 objx 4 0 R obj", b"3" + b" " * 90 + b"0 obj", b"obj", b"\0 obj 1 obj"):
+        assert [m.span() for m in heads(data)] == [m.span() for m in _header.finditer(data)]
+
+
 def kinds(report):
     return [(i.category, i.detail) for i in report.items]
 
